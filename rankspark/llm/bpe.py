@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import replace_columns, require
+from rankspark.llm.common import replace_columns, require, with_fields
 
 #: The published byte-level pattern, and the bytes that stand for themselves in its alphabet.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -192,16 +192,6 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded total of bytes in a column, one row at least."""
-    sizes = np.cumsum([0] + [len(v) if v is not None else 0 for v in (x.as_py() for x in batch.column(column))])
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, side="right")) - 1)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with an array<int> column of token ids of every whole text.
 
@@ -225,7 +215,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
                     yield _with_column(batch.slice(done, len(made)), ids, values)
                     done, total, made = k + 1, 0, []
 
-    return df.mapInArrow(run, df.schema.add(ids, "array<int>"))
+    return df.mapInArrow(run, with_fields(df.schema, f"`{ids}` array<int>"))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -242,7 +232,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
             out = ["" if none[k] else table.decode(values[ends[k] : ends[k + 1]]) for k in range(len(column))]
             yield _with_column(batch, text, pa.array(out, pa.string()))
 
-    return df.mapInArrow(run, df.schema.add(text, "string"))
+    return df.mapInArrow(run, with_fields(df.schema, f"`{text}` string"))
 
 
 def round_trip_digests(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

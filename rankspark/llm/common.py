@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,3 +70,8 @@ def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to write (its own result wins over a clashing input column)."""
     drop = {n.lower() for n in names}
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """schema and the fields of a DDL string after it; schema itself stays as it is."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

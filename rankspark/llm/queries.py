@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankspark.llm import bpe
+from rankspark.llm import bpe, langid, toxicity
+from rankspark.llm.common import crc_bucket
+
+#: A text is toxic from this score on.
+TOXIC_FROM = 0.7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +23,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grammar = toxicity.train(docs, labels.where(crc_bucket("doc_id", 3) != 1))
+    found = toxicity.score(docs.select("doc_id", "text"), grammar, out="score", hits="n_matches")
+    return found.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_matches")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc_bucket("doc_id", 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 
 ORACLES: dict[str, str] = {}
