@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, html_text, langid, sharding, toxicity
+from rankspark.llm import bpe, html_text, langid, packing, sharding, toxicity
 from rankspark.llm.common import crc_bucket
 
 #: A text is toxic from this score on.
@@ -41,11 +41,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op5_sharding": op5_sharding, "op10_html": op10_html, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op10_html": op10_html, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 
 ORACLES: dict[str, str] = {}
