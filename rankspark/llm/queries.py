@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, html_text, langid, packing, sharding, topk, toxicity, vectors_dedup
+from rankspark.llm import bpe, html_text, jaccard, langid, packing, sharding, topk, toxicity, vectors_dedup
 from rankspark.llm.common import crc_bucket
 
 #: A text is toxic from this score on.
@@ -54,12 +54,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join_classes(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_topk": op3_topk, "op4_vectors": op4_vectors, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op10_html": op10_html, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_topk": op3_topk, "op4_vectors": op4_vectors, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op9_jaccard": op9_jaccard, "op10_html": op10_html, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 
 ORACLES: dict[str, str] = {
     "op3_topk": """
