@@ -34,7 +34,7 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 #: Log score of a word for languages that its script rules out, and the price of a switch between words.
 RULED_OUT = -60.0
 SWITCH = 8.0
-CACHED = 150_000
+CACHED = 400_000
 
 
 def script_of(char: str) -> str:
@@ -52,37 +52,50 @@ class Model:
     """Log probabilities of n-grams and whole words by language, and the languages of each script."""
 
     languages: list[str]
-    table: dict[str, np.ndarray]
-    floor: np.ndarray
+    numbers: dict[str, int]  # n-gram, or a blank and a whole word -> row of the table
+    table: np.ndarray  # the last row is for n-grams that weren't learned
     scripts: dict[str, np.ndarray]
     cache: dict[str, int] = field(default_factory=dict, repr=False)
-    rows: list[np.ndarray] = field(default_factory=list, repr=False)
-
-    def score(self, word: str) -> np.ndarray:
-        """Log probability of a lower-case word for each language, as a mean over its n-grams times a small length."""
-        found = [self.table.get(g, self.floor) for g in grams(word)]
-        s = np.sum(found, axis=0) / math.sqrt(len(found))
-        whole = self.table.get(f" {word}")
-        if whole is not None:
-            s = s + whole
-        allowed = self.scripts.get(script_of(word[0]))
-        if allowed is None:  # nothing was learned of this script: no evidence either way
-            return np.zeros(len(self.languages))
-        s = s - s[allowed].max()
-        return np.where(allowed, np.maximum(s, RULED_OUT / 2), RULED_OUT)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        """Rows of the score table for words; the table starts anew when it is full."""
-        cache = self.cache
-        for w in set(words).difference(cache):
-            cache[w] = len(self.rows)
-            self.rows.append(self.score(w).astype(np.float32))
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-
-    def reset_if_full(self) -> None:
+    known: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32), repr=False)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of lower-case words for each language: a sum over n-grams by the root of their number."""
+        number, none = self.numbers.get, len(self.table) - 1
+        flat: list[int] = []
+        starts, wholes, allowed = [], [], []
+        nothing = np.zeros(len(self.languages), bool)
+        for w in words:
+            starts.append(len(flat))
+            flat += [number(g, none) for g in grams(w)]
+            wholes.append(number(" " + w, -1))
+            allowed.append(self.scripts.get(script_of(w[0]), nothing))
+        counts = np.diff([*starts, len(flat)])
+        s = np.add.reduceat(self.table[flat], starts, axis=0) / np.sqrt(counts)[:, None]
+        whole = np.array(wholes)
+        s += np.where((whole >= 0)[:, None], self.table[whole], 0)
+        may = np.array(allowed)
+        best = np.where(may, s, -np.inf).max(1, keepdims=True)
+        learned = may.any(1)[:, None]  # of a script that nothing was learned of there is no evidence either way
+        return np.where(learned, np.where(may, np.maximum(s - np.where(learned, best, 0), RULED_OUT / 2), RULED_OUT), 0).astype(np.float32)
+
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """For each text, rows of the table `known` for its words; the table starts anew when it is full."""
         if len(self.cache) > CACHED:
             self.cache.clear()
-            self.rows.clear()
+        cache = self.cache
+        if not cache:
+            self.known = np.zeros((0, len(self.languages)), np.float32)
+        new = list(set().union(*texts).difference(cache))
+        if new:
+            cache.update(zip(new, range(len(cache), len(cache) + len(new))))
+            if len(cache) > len(self.known):
+                more = max(len(cache), 2 * len(self.known)) - len(self.known)
+                self.known = np.concatenate([self.known, np.zeros((more, len(self.languages)), np.float32)])
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                first = len(cache) - len(new) + at
+                self.known[first : first + len(part)] = self.score(part)
+        return [np.fromiter(map(cache.__getitem__, t), np.int64, len(t)) for t in texts]
 
 
 def fit(rows: list[tuple[str, str]], most_grams: int = 60_000) -> Model:
@@ -104,9 +117,10 @@ def fit(rows: list[tuple[str, str]], most_grams: int = 60_000) -> Model:
     totals = np.array([sum(words[lang].values()) for lang in languages], float) if languages else np.zeros(0)
     smooth = 0.5
     norm = np.log(totals + 1)
-    table = {g: np.log(counts[g] + smooth) - norm for g in kept if counts[g].sum() >= 2}
+    kept = [g for g in kept if counts[g].sum() >= 2]
+    table = np.log(np.array([counts[g] for g in kept] + [np.zeros(len(languages))]).reshape(len(kept) + 1, len(languages)) + smooth) - norm
     allowed = {s: v >= 0.005 * totals for s, v in scripts.items() if (v >= 0.005 * totals).any()}
-    return Model(languages, table, math.log(smooth) - norm, allowed)
+    return Model(languages, {g: k for k, g in enumerate(kept)}, table, allowed)
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -156,12 +170,11 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
 
     score: the share of letters that have the text's language, times the confidence of its words' evidence.
     """
-    model.reset_if_full()
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    ids = [model.ids(w) for w in words]
-    table = np.array(model.rows, np.float32) if model.rows else np.zeros((0, len(model.languages)), np.float32)
     if not model.languages:
         return [(UNKNOWN, 0.0, []) for _ in texts]
+    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    ids = model.ids(words)
+    table = model.known
     paths = viterbi([table[i] for i in ids])
     out = []
     for w, i, path in zip(words, ids, paths):
