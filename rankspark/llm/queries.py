@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, html_text, jaccard, langid, packing, sharding, topk, toxicity, vectors_dedup
+from rankspark.llm import bpe, html_text, jaccard, langid, packing, sharding, suffix_dedup, topk, toxicity, vectors_dedup
 from rankspark.llm.common import crc_bucket
 
 #: A text is toxic from this score on.
@@ -37,6 +37,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -64,7 +68,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_topk": op3_topk, "op4_vectors": op4_vectors, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op9_jaccard": op9_jaccard, "op10_html": op10_html, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_repeats": op2_repeats, "op3_topk": op3_topk, "op4_vectors": op4_vectors, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op9_jaccard": op9_jaccard, "op10_html": op10_html, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 
 ORACLES: dict[str, str] = {
     "op3_topk": """
