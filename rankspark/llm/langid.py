@@ -206,18 +206,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int
     return fit(sample)
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
-    """df with lang_pred string, score double and, if wanted, lang_spans array<struct<word, words, lang>>.
+def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", spans: str | None = "lang_spans") -> DataFrame:
+    """df with the predicted language, a score from 0 to 1 and, if a name is given, array<struct<word, words, lang>>.
 
-    Null texts and texts without a letter: `und`, 0.0 and no spans. Columns of these names are replaced.
+    Null texts and texts without a letter: `und`, 0.0 and no spans. Other columns named like these are replaced.
     """
     require(df, text)
-    added = {"lang_pred", "score"} | ({"lang_spans"} if spans else set())
-    base = df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in added or c == text])
+    added = [pred, score] + [spans] * bool(spans)
+    base = df.select([F.col(f"`{c}`") for c in df.columns if c == text or c.lower() not in {a.lower() for a in added}])
     handle = df.sparkSession.sparkContext.broadcast(model)  # bounded by most_grams
-    schema = with_fields(base.schema, "lang_pred string, score double")
-    if spans:
-        schema = with_fields(schema, "lang_spans array<struct<word:int,words:int,lang:string>>")
+    schema = with_fields(base.schema, f"`{pred}` string, `{score}` double" + f", `{spans}` array<struct<word:int,words:int,lang:string>>" * bool(spans))
     kind = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

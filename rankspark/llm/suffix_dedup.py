@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm import hashing
-from rankspark.llm.common import free_name, materialize, replace_columns, require
+from rankspark.llm.common import free_name, materialize, require
 
 LENGTH = 400
 ANCHOR = 160
@@ -344,30 +344,34 @@ def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """df with n_bytes, n_removed, n_spans, and `kept`: the text's remaining bytes, as binary.
+#: What is left of a text: its bytes; its characters, where a cut falls inside a character without that; its digest.
+REST = {"bytes": "binary", "text": "string", "sha256": "string"}
+
+
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, rest: str = "bytes", kept: str = "kept", removed: str = "n_removed", spans: str = "n_spans") -> DataFrame:
+    """df with the number of bytes removed, the number of maximal removed runs, and what is left of the text (see REST).
 
     Null texts are empty. Strings are judged on the input: all places of a repeated string go, the first too, those in
     the same text too; overlapping ones count. Rows that repeat a document repeat its strings. Texts under `length` bytes
-    stay whole. An empty table gives no rows. Columns named like the results are replaced.
+    stay whole. An empty table gives no rows. Other columns named like the results are replaced.
     """
     require(df, doc_id, text)
-    base = replace_columns(df, "n_bytes", "n_removed", "n_spans", "kept")
+    base = df.select([F.col(f"`{c}`") for c in df.columns if c in (doc_id, text) or c.lower() not in {kept.lower(), removed.lower(), spans.lower()}])
     rid = free_name(base, "_rid")
     whole = F.coalesce(F.col(text), F.lit(""))
     base = base.withColumn(rid, F.xxhash64(F.col(doc_id), whole))
-    found = cut_texts(base.select(F.col(rid).alias("rid"), whole.alias("text")), length, True)
-    kept, removed, spans = (free_name(base, x) for x in ("_kept", "_removed", "_spans"))
-    found = found.select(F.col("rid").alias(rid), F.col("n_removed").alias(removed), F.col("n_spans").alias(spans), F.col("kept").alias(kept))
-    out = base.join(found, rid, "left").withColumn("n_bytes", F.octet_length(whole).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(removed, F.lit(0).cast("long"))).withColumn("n_spans", F.coalesce(spans, F.lit(0).cast("long")))
-    return out.withColumn("kept", F.coalesce(kept, whole.cast("binary"))).drop(rid, kept, removed, spans)
+    found = cut_texts(base.select(F.col(rid).alias("rid"), whole.alias("text")), length, rest)
+    a, b, c = (free_name(base, x) for x in ("_removed", "_spans", "_kept"))
+    out = base.join(found.toDF(rid, a, b, c), rid, "left")
+    zero, left = F.lit(0).cast("long"), whole.cast("binary") if rest == "bytes" else whole if rest == "text" else F.sha2(whole.cast("binary"), 256)
+    values = {removed: F.coalesce(a, zero), spans: F.coalesce(b, zero), kept: F.coalesce(c, left)}
+    return out.select(*[F.col(f"`{x}`") for x in base.columns if x != rid and x not in values], *[v.alias(k) for k, v in values.items()])
 
 
-def cut_texts(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """(rid, n_removed, n_spans, kept or kept_sha256), one row for each rid that loses something."""
+def cut_texts(docs: DataFrame, length: int, rest: str) -> DataFrame:
+    """(rid, n_removed, n_spans, rest), one row for each rid that loses something."""
     texts, spans = repeats(docs, length)
-    last = "kept binary" if with_text else "kept_sha256 string"
+    left = {"bytes": bytes, "text": lambda x: x.decode("utf-8", "ignore"), "sha256": lambda x: hashlib.sha256(x).hexdigest()}[rest]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,19 +382,19 @@ def cut_texts(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
                 for begin, end in gone:
                     parts.append(raw[at:begin])
                     at = end
-                rest = b"".join([*parts, raw[at:]])
-                out.append((rid, len(raw) - len(rest), len(gone), rest if with_text else hashlib.sha256(rest).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_text else pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["rid", "n_removed", "n_spans", last.split()[0]])
+                kept = b"".join([*parts, raw[at:]])
+                out.append((rid, len(raw) - len(kept), len(gone), left(kept)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if rest == "bytes" else pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["rid", "n_removed", "n_spans", "rest"])
 
-    return texts.dropDuplicates(["rid"]).join(spans, "rid").mapInArrow(cut, f"rid long, n_removed long, n_spans long, {last}")
+    return texts.dropDuplicates(["rid"]).join(spans, "rid").mapInArrow(cut, f"rid long, n_removed long, n_spans long, rest {REST[rest]}")
 
 
 def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans and the SHA-256 of its remaining bytes."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), whole).alias("rid"), whole.alias("text"))
-    found = cut_texts(rows.select("rid", "text"), length, False)
+    found = cut_texts(rows.select("rid", "text"), length, "sha256")
     light = rows.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return light.join(found, "rid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return light.join(found, "rid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("rest", "whole").alias("kept_sha256"))
