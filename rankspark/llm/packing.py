@@ -17,29 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.llm import latin
 from rankspark.llm.bpe import per_worker
 from rankspark.llm.common import materialize, require
 
 CAPACITY = 2048
 END = 0
-#: The pattern of the word tokenizer's pieces.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHED = 200_000
-
-
-class WordIds(dict):
-    """Normalised piece -> its ids by the tokenizers library, as bytes."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+#: The pattern of the word tokenizer's pieces, for Latin text.
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{latin.LETTERS}]+|[{latin.NUMBERS}]|[^{latin.SPACES}{latin.LETTERS}{latin.NUMBERS}]+"
+CACHED = 300_000
 
 
 class WordTokenizer:
@@ -55,26 +44,40 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pattern = regex.compile(PIECES)
-        self.cache = WordIds(self.library)
-        self.whole = re.compile("[^\x00-ɏ‐-‧]|" + "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()))
-        self.normal = self._pieces_are_words()
-
-    def _pieces_are_words(self) -> bool:
-        """Whether looking words up gives the library's ids; if the vocabulary is of another kind, it is asked each time."""
+        self.pattern = re.compile(PIECES)
+        self.cache: dict[str, bytes] = {}
+        self.whole = re.compile("|".join([latin.BEYOND.pattern, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
         probe = "It's a Test  of 123 ÉCOLE -- don't\tI'LL x9y <>"
-        return self._by_word(probe).tolist() == self.library.encode(probe, add_special_tokens=False).ids
-
-    def _by_word(self, text: str) -> np.ndarray:
-        text = unicodedata.normalize("NFC", text).lower()
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.pattern.findall(text))), "<u4")
-
-    def encode(self, text: str) -> np.ndarray:
+        self.by_word = self.encode_all([probe])[0].tolist() == self._library(probe).tolist()
+
+    by_word = True
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that weren't met yet: many in one call, cut where a token ends a word."""
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            ids = self._library(" ".join(part))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                self.cache.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+            else:
+                self.cache.update((w, self._library(w).tobytes()) for w in part)
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; a null text has none. Texts of a vocabulary of another kind go to the library whole."""
         if len(self.cache) > CACHED:
             self.cache.clear()
-        if not self.normal or self.whole.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return self._by_word(text)
+        pieces = [None if t and (not self.by_word or self.whole.search(t)) else self.pattern.findall(unicodedata.normalize("NFC", t or "").lower()) for t in texts]
+        self._learn(list(set().union(*(p for p in pieces if p)).difference(self.cache)))
+        get = self.cache.__getitem__
+        return [self._library(t) if p is None else np.frombuffer(b"".join(map(get, p)), "<u4") for t, p in zip(texts, pieces)]
 
 
 def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -85,12 +88,12 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_worker(WordTokenizer, tokenizer)
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             rows: list[tuple] = []
             ids_kept: list[np.ndarray] = []
             owners: list[int] = []
-            for k, t in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(words.encode(t) if t else np.zeros(0, "<u4"), np.uint32(END)).astype("<u4")
+            for k, ids in enumerate(words.encode_all(batch.column("text").to_pylist())):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     owners.append(k)
