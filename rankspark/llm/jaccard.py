@@ -56,8 +56,8 @@ def needed_overlap(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's bitmap: a power of two, twice the set's size at least."""
-    return max(256, 1 << (2 * max(n, 1) - 1).bit_length())
+    """Bits of a set's bitmap: a power of two, four times the set's size at least."""
+    return max(256, 1 << (4 * max(n, 1) - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -118,9 +118,9 @@ class SignatureTree:
         return LEAF if level == 1 else FANOUT
 
 
-def _may_link(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, fold: int) -> np.ndarray:
-    """Which node pairs have a largest possible overlap that suffices. fold: y's bitmap is that many times x's width."""
-    keep = np.zeros(len(i), bool)
+def _may_link(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which node pairs have a largest possible overlap that suffices, and the similarity it stands for. fold: y's bitmap is that many times x's width."""
+    keep, likeness = np.zeros(len(i), bool), np.zeros(len(i))
     for at in range(0, len(i), 100_000):
         a, b = i[at : at + 100_000], j[at : at + 100_000]
         ybits = y[0][b]
@@ -130,16 +130,18 @@ def _may_link(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, fold: int) -> np
         spare = x[3][a] if fold > 1 else np.minimum(x[3][a], y[3][b])
         most = np.minimum(np.minimum(x[2][a], y[2][b]), common + spare)
         keep[at : at + 100_000] = most >= needed_overlap(x[1][a], y[1][b])
-    return keep
+        likeness[at : at + 100_000] = most / np.maximum(x[1][a] + y[1][b] - most, 1)
+    return keep, likeness[keep]
 
 
-def dual_traversal(x: SignatureTree, y: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of two trees (or of one) that may link; y's bitmaps are as wide as x's or wider."""
+def dual_traversal(x: SignatureTree, y: SignatureTree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members of two trees (or of one) that may link, and how alike they can be at most; y's bitmaps are as
+    wide as x's or wider."""
     same, fold = x is y, y.bits // x.bits
     lx, ly = len(x.levels) - 1, len(y.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        keep = _may_link(x.levels[lx], y.levels[ly], i, j, fold)
+        keep, likeness = _may_link(x.levels[lx], y.levels[ly], i, j, fold)
         i, j = i[keep], j[keep]
         if not len(i) or (lx == 0 and ly == 0):
             break
@@ -157,8 +159,8 @@ def dual_traversal(x: SignatureTree, y: SignatureTree) -> tuple[np.ndarray, np.n
             i, j = i[once], j[once]
     if same:
         once = i < j
-        i, j = i[once], j[once]
-    return x.members[i], y.members[j]
+        i, j, likeness = i[once], j[once], likeness[once]
+    return x.members[i], y.members[j], likeness
 
 
 def _descend(parent: np.ndarray, other: np.ndarray, fanout: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,21 +170,22 @@ def _descend(parent: np.ndarray, other: np.ndarray, fanout: int, n: int) -> tupl
     return child[real], other[real]
 
 
-def bucket_candidates(sizes: np.ndarray, bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in a bucket that may link: one tree for each bitmap width; only neighbouring widths can link."""
+def bucket_candidates(sizes: np.ndarray, bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in a bucket that may link, and how alike they can be: one tree for each bitmap width; only neighbouring widths can link."""
     widths = np.array([len(b) for b in bitmaps])
     trees = {}
     for w in np.unique(widths).tolist():
         at = np.flatnonzero(widths == w)
         trees[w] = SignatureTree(at, sizes[at], np.frombuffer(b"".join(bitmaps[k] for k in at), np.uint64).reshape(len(at), -1))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, like = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for w, tree in trees.items():
         for other in (w, 2 * w):
             if other in trees:
-                a, b = dual_traversal(tree, trees[other])
+                a, b, likeness = dual_traversal(tree, trees[other])
                 left.append(a)
                 right.append(b)
-    return np.concatenate(left), np.concatenate(right)
+                like.append(likeness)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(like)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
@@ -215,7 +218,8 @@ def _pair_batch(pairs) -> pa.RecordBatch:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket part's candidates a spanning forest, towards small ids, so that buckets choose the same pairs."""
+    """Of each bucket part's candidates a spanning forest of the likeliest pairs, by ids where they are equally likely,
+    so that buckets choose the same pairs."""
     out: set[tuple[int, int]] = set()
     for _, (ids, n, bits) in _groups(batches, ["token", "part"], ["id", "n", "bits"]):
         if len(ids) < 2:
@@ -223,9 +227,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who = np.array(ids)
         first = np.unique(who, return_index=True)[1]
         who, sizes = who[first], np.array(n)[first]
-        i, j = bucket_candidates(sizes, [bits[k] for k in first])
+        i, j, likeness = bucket_candidates(sizes, [bits[k] for k in first])
         low, high = np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
-        order = np.lexsort((high, low))
+        order = np.lexsort((high, low, -likeness))
         root = {x: x for x in who.tolist()}
 
         def find(x: int, root=root) -> int:
@@ -252,7 +256,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who, comp, side = np.array(ids), np.array(component), np.array(mine)
         if len(who) < 2 or (comp == comp[0]).all():
             continue
-        a, b = bucket_candidates(np.array(n), bits)
+        a, b, _ = bucket_candidates(np.array(n), bits)
         keep = (comp[a] != comp[b]) & (who[a] != who[b])
         if key[1] != key[2]:
             keep &= side[a] != side[b]
