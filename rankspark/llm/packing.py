@@ -28,7 +28,7 @@ CAPACITY = 2048
 END = 0
 #: The pattern of the word tokenizer's pieces, for Latin text.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{latin.LETTERS}]+|[{latin.NUMBERS}]|[^{latin.SPACES}{latin.LETTERS}{latin.NUMBERS}]+"
-CACHED = 300_000
+CACHED = 600_000
 
 
 class WordTokenizer:
