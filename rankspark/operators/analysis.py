@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: The usual short list of English stop words.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -89,11 +90,10 @@ def analyze(text: str | None) -> list[str]:
     return [stem(w) for w in words if w not in STOP_WORDS]
 
 
-@F.pandas_udf("array<string>")
-def _english(texts: pd.Series) -> pd.Series:
+def _analyze_all(texts: pd.Series) -> pd.Series:
     return texts.map(analyze)
 
 
 def english(text: Column) -> Column:
     """Stems of a text's words, by an Arrow UDF: Spark has no stemmer."""
-    return _english(text)
+    return F.pandas_udf(_analyze_all, ArrayType(StringType()))(text)

@@ -10,7 +10,7 @@ from rankspark.functions import text as T
 
 def from_lists(queries: DataFrame, column: str = "gold_ids") -> DataFrame:
     """A row for each listed id, in the corpus or not."""
-    rows = queries.select("query_id", F.explode(column).cast("string").alias("doc_id"))
+    rows = queries.select("query_id", F.explode(F.col(column).cast("array<string>")).alias("doc_id"))
     return rows.distinct().withColumn("rel", F.lit(1))
 
 

@@ -137,7 +137,7 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = KEPT, scale: float = 1
 
     if shape[0] * shape[1] * 8 <= BROADCAST_BYTES:
         rows = packed.collect()  # measured: BROADCAST_BYTES at most
-        handle = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], unit(np.array([r["q"] for r in rows], float).reshape(len(rows), -1))))
+        handle = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], unit(np.array([r["q"] for r in rows], float).reshape(len(rows), shape[1]))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = handle.value

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from rankspark import schemas
 from rankspark.functions.images import has_image_extension, normalise_path
 
-EMPTY_LIST = F.expr("cast(array() as array<string>)")
+def empty_list() -> Column:
+    return F.expr("cast(array() as array<string>)")
 
 
 def list_or_empty(column: str) -> Column:
     """A null list is an empty one."""
-    return F.coalesce(F.col(column), F.expr("cast(array() as array<string>)"))
+    return F.coalesce(F.col(column), empty_list())
 
 
 def read_corpus(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def read_multimodal_queries(spark: SparkSession, path: str, domain: str, plain_i
 def image_paths(images: Column, plain: bool) -> Column:
     """Paths of annotations that are strings or structs, with forward slashes; null is empty, null members go."""
     paths = F.transform(images, lambda x: normalise_path(x if plain else x["image_path"]))
-    return F.coalesce(F.filter(paths, lambda p: p.isNotNull()), EMPTY_LIST)
+    return F.coalesce(F.filter(paths, lambda p: p.isNotNull()), empty_list())
 
 
 def read_images(spark: SparkSession, path: str, domain: str, decodable=None) -> DataFrame:
@@ -85,7 +86,7 @@ def read_query_images_jsonl(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema("id string, image_paths array<string>").json(path).where("id is not null")
     df = df.withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     last = df.groupBy("id").agg(F.max_by(F.struct("image_paths"), "_at").alias("x"))
-    return last.select(F.col("id").alias("query_id"), F.coalesce("x.image_paths", EMPTY_LIST).alias("image_paths"))
+    return last.select(F.col("id").alias("query_id"), F.coalesce("x.image_paths", empty_list()).alias("image_paths"))
 
 
 def read_model_config(root: str, model: str) -> dict[str, str]:
