@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 LAST = 0x24F
 
 
-def _class(kind: str) -> str:
-    """Members of a general category's first letter up to LAST, as ranges of a character class."""
+def _ranges(test: Callable[[str], bool]) -> str:
+    """Characters up to LAST that pass, as ranges of a character class."""
     ranges: list[list[int]] = []
     for c in range(LAST + 1):
-        if unicodedata.category(chr(c))[0] == kind:
+        if test(chr(c)):
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
             else:
@@ -24,7 +25,8 @@ def _class(kind: str) -> str:
     return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
 
 
-LETTERS, NUMBERS = _class("L"), _class("N")
+LETTERS = _ranges(lambda c: unicodedata.category(c)[0] == "L")
+NUMBERS = _ranges(lambda c: unicodedata.category(c)[0] == "N")
 SPACES = r"\t-\r \x85\xa0"
-#: A character that the classes above don't settle.
-BEYOND = re.compile(f"[^\\x00-\\u{LAST:04x}\\u2010-\\u2027]")
+#: A character that the classes above don't settle, or whose lower-case form they don't.
+BEYOND = re.compile(f"[^{_ranges(lambda c: max(c.lower()) <= chr(LAST))}\\u2010-\\u2027]")
