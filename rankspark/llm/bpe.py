@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import replace_columns, require, with_fields
+from rankspark.llm.common import per_worker, replace_columns, require, with_fields
 
 #: The published byte-level pattern, and the bytes that stand for themselves in its alphabet.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,17 +177,6 @@ class OffsetTable:
         return b"".join(out).decode("utf-8", "replace")
 
 
-_made: dict[tuple, object] = {}
-
-
-def per_worker(kind, *args):
-    """One object for each Python worker and file."""
-    key = (kind, *args)
-    if key not in _made:
-        _made[key] = kind(*args)
-    return _made[key]
-
-
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 

@@ -75,3 +75,22 @@ def replace_columns(df: DataFrame, *names: str) -> DataFrame:
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """schema and the fields of a DDL string after it; schema itself stays as it is."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+_held: dict[tuple, object] = {}
+
+
+def per_worker(kind, *args):
+    """One object for each Python worker: a worker that turns to another operator lets go of those it has had, with what
+    they keep, as workers outlive the stages they serve."""
+    key = (kind, *args)
+    if key not in _held:
+        make_room(kind.__module__)
+        _held[key] = kind(*args)
+    return _held[key]
+
+
+def make_room(operator: str = "") -> None:
+    """Drop what other operators than this module's have kept in this worker."""
+    for key in [k for k in _held if k[0].__module__ != operator]:
+        del _held[key]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import require, with_fields
+from rankspark.llm.common import make_room, require, with_fields
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,7 +34,8 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 #: Log score of a word for languages that its script rules out, and the price of a switch between words.
 RULED_OUT = -60.0
 SWITCH = 8.0
-CACHED = 400_000
+CACHED = 300_000
+CELLS = 400_000
 
 
 def script_of(char: str) -> str:
@@ -128,8 +129,10 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     out: list[np.ndarray] = [np.zeros(len(s), np.int64) for s in scores]
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     order = [k for k in order if len(scores[k])]
-    for at in range(0, len(order), 256):
-        group = order[at : at + 256]
+    at = 0
+    while at < len(order):  # texts of like length together, so few cells are empty, and so many cells at a time at most
+        group = order[at : at + max(1, min(256, CELLS // len(scores[order[at]])))]
+        at += len(group)
         lengths = np.array([len(scores[k]) for k in group])
         longest, langs = lengths[0], scores[group[0]].shape[1]
         alive = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")  # texts that have a word at this step
@@ -219,6 +222,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
     kind = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm import latin
-from rankspark.llm.bpe import per_worker
-from rankspark.llm.common import materialize, require
+from rankspark.llm.common import materialize, per_worker, require
 
 CAPACITY = 2048
 END = 0

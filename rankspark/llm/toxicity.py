@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import require, with_fields
+from rankspark.llm.common import make_room, require, with_fields
 
 #: Word lists of the grammar's small transducers, in the four languages of the corpus.
 TARGETS = frozenset("you your yours u ye he him she her they them these those people tu te vous ton votre eux du dich dir ihr euch sie ihn él ella ellos usted ustedes vosotros".split())
@@ -179,6 +179,7 @@ def score(df: DataFrame, grammar: Grammar, text: str = "text", out: str = "toxic
         schema = with_fields(schema, f"`{hits}` int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             found = [handle.value.score(t) for t in batch.column(text).to_pylist()]
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.float64())]
