@@ -77,6 +77,12 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def commonest_width(df: DataFrame, vector: str) -> int:
+    """The length that most vectors have; the shorter one of equals, 0 without vectors."""
+    row = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("w")).count().orderBy(F.desc("count"), "w").first()
+    return row["w"] if row else 0
+
+
 _held: dict[tuple, object] = {}
 
 

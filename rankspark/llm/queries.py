@@ -70,6 +70,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_repeats": op2_repeats, "op3_topk": op3_topk, "op4_vectors": op4_vectors, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op9_jaccard": op9_jaccard, "op10_html": op10_html, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 
+#: Smallest reachable id of each node of pairs `p` (a, b, both ways round).
+_REACH = "reach AS (SELECT id AS a, id AS m FROM nodes UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.m), c AS (SELECT a AS id, min(m) AS component_id FROM reach GROUP BY a)"
+
 ORACLES: dict[str, str] = {
     "op3_topk": """
         WITH v AS (
@@ -80,4 +83,22 @@ ORACLES: dict[str, str] = {
             FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op4_vectors": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) >= 98e-2 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) AND list_dot_product(a.e, a.e) > 0 AND list_dot_product(b.e, b.e) > 0
+        ), nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}, n AS (SELECT a AS id, count(*) AS n FROM p GROUP BY a)
+        SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN n ON n.id = c.id""",
+    "op9_jaccard": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+        p AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+        nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+        SELECT c.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.id""",
 }

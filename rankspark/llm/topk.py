@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import materialize, require
+from rankspark.llm.common import commonest_width, materialize, require
 
 SCALE = 256
 #: Components beyond this magnitude, once quantised, leave a vector out: scores stay within a long.
@@ -26,10 +26,10 @@ ROWS, QUERIES, TOGETHER = 8192, 2048, 64
 def quantised(df: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(id, q array<int>) of usable vectors: no null, no non-finite component, of the table's commonest width."""
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width = commonest_width(rows, "v")
     q = F.transform("v", lambda x: F.floor(x * F.lit(float(scale))))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * F.lit(float(scale)) <= F.lit(float(LARGEST))))
-    rows = rows.where((F.size("v") == F.lit(width["w"] if width else 0)) & finite)
+    rows = rows.where((F.size("v") == F.lit(width)) & finite)
     return rows.select("id", q.cast("array<int>").alias("q"))
 
 

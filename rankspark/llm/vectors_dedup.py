@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import materialize, require
+from rankspark.llm.common import commonest_width, materialize, require
 from rankspark.llm.components import components, local_forest
 
 SIMILAR = 0.98
@@ -26,12 +26,10 @@ WINDOW = 24
 BLOCK = 512
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that are usable, their vectors as doubles): not null, of the commonest width, finite, not zero."""
+def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are usable, their vectors as doubles): of this width, no null, finite, not zero."""
     values = column.to_pylist()
-    widths = [len(v) if v is not None else 0 for v in values]
-    width = max(set(widths), key=widths.count) if any(widths) else 0
-    rows = [k for k, v in enumerate(values) if v is not None and len(v) == width and width and None not in v]
+    rows = [k for k, v in enumerate(values) if v is not None and len(v) == width and None not in v]
     x = np.array([values[k] for k in rows], np.float64).reshape(len(rows), width)
     good = np.isfinite(x).all(1) & (x != 0).any(1)
     return np.array(rows, np.int64)[good], x[good]
@@ -55,10 +53,11 @@ def _keys(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
 def _units(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     """(id, label, unit vector) of the vectors that can link."""
     base = df.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and label is not null and v is not null")
+    width = commonest_width(base, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, x = matrix(batch.column("v"))
+            rows, x = matrix(batch.column("v"), width)
             if len(rows):
                 take = pa.array(rows)
                 flat = pa.array(unit(x).ravel())
@@ -172,7 +171,7 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = SIMILAR, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per vector of df: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, zero, or hold null or non-finite components, and rows without a label, link with nothing:
+    Vectors that are null, zero, of another width than most, or hold null or non-finite components, and rows without a label, link with nothing:
     0 links, their own component, kept. vec_id is taken as a key; an empty table gives no rows.
     """
     require(df, vec_id, vector, label)
