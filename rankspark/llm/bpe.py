@@ -10,6 +10,7 @@ that the merge rules give, so results are exact; each position is closed at most
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankspark.llm import latin
 from rankspark.llm.common import per_worker, replace_columns, require, with_fields
 
-#: The published byte-level pattern, and the bytes that stand for themselves in its alphabet.
+#: The published byte-level pattern, for any text and for Latin text, and the bytes that stand for
+#: themselves in its alphabet.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{latin.LETTERS}]+| ?[{latin.NUMBERS}]+| ?[^{latin.SPACES}{latin.LETTERS}{latin.NUMBERS}]+|[{latin.SPACES}]+(?![^{latin.SPACES}])|[{latin.SPACES}]+"
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: A worker keeps the ids of so many pieces; then it starts anew.
@@ -69,7 +73,7 @@ class ByteBpe:
         self.shorter = {i: self._shorter(b) for i, b in self.token.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cache = Pieces(self.encode_piece)
-        self.pattern = regex.compile(PIECES)
+        self.pattern, self.latin = regex.compile(PIECES), re.compile(LATIN_PIECES)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def _shorter(self, b: bytes) -> int:
@@ -138,11 +142,12 @@ class ByteBpe:
         if len(self.cache) > CACHED:
             self.cache.clear()
         get = self.cache.__getitem__
+        find = self.pattern.findall if latin.BEYOND.search(text) else self.latin.findall
         if self.cut is None or not self.cut.search(text):
-            return np.frombuffer(b"".join(map(get, self.pattern.findall(text))), "<u4")
+            return np.frombuffer(b"".join(map(get, find(text))), "<u4")
         made = []
         for part in self.cut.split(text):
-            made.append(np.uint32(self.special[part]).tobytes() if part in self.special else b"".join(map(get, self.pattern.findall(part))))
+            made.append(np.uint32(self.special[part]).tobytes() if part in self.special else b"".join(map(get, find(part))))
         return np.frombuffer(b"".join(made), "<u4")
 
 
