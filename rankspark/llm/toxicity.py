@@ -2,9 +2,9 @@
 
 Transducers read a clause word by word and emit weighted marks: insults (a trie of word stems), threats, targets,
 negation and reported speech. Their composition scores the clause: an insult counts more with a target near it, a
-threat only with one, and what a clause denies or reports counts less. A text's score is a logistic function of its
-clauses' sum, so a word alone is never looked at outside its clause. Stems and their weights are learned: prefixes of
-words and whole words that labelled toxic texts have and clean ones don't.
+threat only with one, and what a clause denies or reports counts less. The clauses' weighted matches of a text are held
+against what chance gives in that many words, and a logistic function of this evidence is the score. Stems and their
+chance rates are learned: prefixes of words and whole words that labelled toxic texts use far more than clean ones.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,43 +27,48 @@ TARGETS = frozenset("you your yours u ye he him she her they them these those pe
 NEGATIONS = frozenset("not no never neither nor without isn't aren't don't doesn't pas jamais ni nicht kein keine keinen nie niemals nunca tampoco sin".split())
 REPORTS = frozenset("said says wrote writes claimed reported quoted called tells told dit écrit sagte schrieb dijo escribió".split())
 THREATS = frozenset("kill hurt destroy shoot stab burn tuer frapper töten schlagen verletzen matar golpear herir".split())
-STATES = ("plain", "denied", "reported")
 
 CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SHORTEST, LONGEST = 4, 10
 #: A negation reaches so many words.
 REACH = 3
+#: A word that a text repeats counts so many times at most: repetition is no insult.
+REPEATS = 2
 
 
 @dataclass
 class Grammar:
-    """Stems with weights, and the weights of the composition."""
+    """Stems with their chance rates, and the weights of the composition.
 
-    stems: dict[str, float]  # prefix of a word -> weight
-    words: dict[str, float]  # whole word -> weight
+    A stem's matches are held against what chance gives in a text of that length: `rates` has the share of words of
+    clean texts that pass each stem. A prefix stands for itself, a whole word ends with `$`.
+    """
+
+    rates: dict[str, float]
     bias: float = -3.0
-    target: float = 0.5
-    threat: float = 2.0
+    slope: float = 1.0
+    target: float = 0.25
+    threat: float = 1.0
     denied: float = 0.6
     reported: float = 0.7
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
+    cache: dict[str, str] = field(default_factory=dict, repr=False)
 
-    def insult(self, word: str) -> float:
-        """The stem transducer's output: the heaviest stem that it passes, or the whole word's weight."""
+    def stem(self, word: str) -> str:
+        """The stem transducer's output: the stem that a word passes, the one with the lowest rate of several, or ''."""
         known = self.cache.get(word)
         if known is None:
-            known = self.words.get(word, 0.0)
-            for n in range(SHORTEST, min(LONGEST, len(word)) + 1):
-                known = max(known, self.stems.get(word[:n], 0.0))
-            if len(self.cache) > 200_000:
+            passed = [f for f in _forms(word) if f in self.rates]
+            known = min(passed, key=lambda f: (self.rates[f], f), default="")
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             self.cache[word] = known
         return known
 
-    def clause(self, words: list[str]) -> tuple[float, int]:
-        """Sum of a clause's matches, and how many there are: one pass of the composed machine."""
-        total, hits, state, left, aimed, threat = 0.0, 0, "plain", 0, False, 0.0
+    def clause(self, words: list[str]) -> dict[str, float]:
+        """A clause's weighted matches by word: one pass of the composed machine."""
+        out: dict[str, float] = {}
+        state, left, aimed, threat = "plain", 0, False, 0.0
         for w in words:
             if w in NEGATIONS:
                 state, left = "denied", REACH
@@ -74,35 +80,46 @@ class Grammar:
                 left -= 1
                 if not left:
                     state = "plain"
-            factor = {"plain": 1.0, "denied": self.denied, "reported": self.reported}[state]
-            weight = self.insult(w)
-            if weight:
-                total += weight * factor
-                hits += 1
+            factor = 1.0 if state == "plain" else self.denied if state == "denied" else self.reported
+            stem = self.stem(w)
+            if stem:
+                out[w] = out.get(w, 0.0) + factor
             elif w in THREATS:
                 threat = max(threat, self.threat * factor)
-        if hits and aimed:
-            total += self.target
-        if hits and threat and aimed:
-            total += threat
-            hits += 1
-        return total, hits
+        if out and aimed:  # an insult with a target counts more, a threat only with both
+            strongest = min(out, key=lambda w: (self.rates[self.stem(w)], w))
+            out[strongest] += self.target + threat
+        return out
 
-    def score(self, text: str | None) -> tuple[float, int]:
-        """(0 to 1, number of matches) of a whole text."""
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """(log likelihood ratio of the matches against chance, weighted number of matches)."""
         if not text:
-            return _logistic(self.bias), 0
+            return 0.0, 0.0
         low = text.lower()
-        get, cache = self.insult, self.cache
-        found = [w for w in set(WORD.findall(low)) if cache.get(w) or (w not in cache and get(w))]
-        if not found:  # no stem matches anywhere: every clause's sum is 0
-            return _logistic(self.bias), 0
-        total, hits = 0.0, 0
+        words = WORD.findall(low)
+        stem = self.stem
+        found = {w for w in set(words) if stem(w)}
+        if not found:  # no stem matches anywhere: no clause says anything
+            return 0.0, 0.0
+        matched: dict[str, float] = {}
         for part in CLAUSE.split(low):
             if any(f in part for f in found):
-                s, n = self.clause(WORD.findall(part))
-                total, hits = total + s, hits + n
-        return _logistic(self.bias + total), hits
+                for w, c in self.clause(WORD.findall(part)).items():
+                    matched[w] = matched.get(w, 0.0) + c
+        counts: dict[str, float] = {}
+        for w, c in matched.items():
+            counts[stem(w)] = counts.get(stem(w), 0.0) + min(c, REPEATS)
+        total = 0.0
+        for f, c in counts.items():
+            chance = len(words) * self.rates[f]
+            if c > chance:
+                total += c * math.log(c / chance) - (c - chance)
+        return total, sum(counts.values())
+
+    def score(self, text: str | None) -> tuple[float, int]:
+        """(0 to 1, number of matches) of a whole text."""
+        x, n = self.evidence(text)
+        return _logistic(self.bias + self.slope * math.log1p(x)), math.ceil(n)
 
 
 def _logistic(x: float) -> float:
@@ -115,41 +132,85 @@ def _forms(word: str) -> Iterator[str]:
         yield word[:n]
 
 
-def fit(rows: list[tuple[str | None, int]], least: int = 5, share: float = 0.04, purity: float = 300.0) -> Grammar:
-    """rows: (text, 1 if toxic). A form is kept if `least` toxic texts and that share of them have it, if its share
-    among toxic texts is `purity` times its share among clean ones (or no clean text has it), and if it reaches toxic
-    texts that commoner forms leave out. Of a stem's continuations the longest is kept that loses next to nothing.
-    Without toxic rows the grammar has no stems.
+def _frequent(texts: list[Counter], enough: float) -> dict[str, set[int]]:
+    """Prefixes of words (SHORTEST to LONGEST letters), and whole words with a `$`, that enough texts have, with these
+    texts. Level by level: a prefix is looked at only if the one before it is frequent, so few are held at a time."""
+    out: dict[str, set[int]] = {}
+    level: dict[str, set[int]] = {}
+    for n in range(SHORTEST, LONGEST + 1):
+        counts: Counter = Counter()
+        cut = lambda ws: {w[:n] for w in ws if len(w) >= n and (n == SHORTEST or w[: n - 1] in level)}  # noqa: B023, E731
+        for ws in texts:
+            counts.update(cut(ws))
+        where: dict[str, set[int]] = {f: set() for f, c in counts.items() if c >= enough}
+        for k, ws in enumerate(texts):
+            for f in cut(ws):
+                if f in where:
+                    where[f].add(k)
+        level = where
+        out |= where
+    whole = Counter(w for ws in texts for w in ws)
+    out |= {f"{w}$": {k for k, ws in enumerate(texts) if w in ws} for w, c in whole.items() if c >= enough}
+    return out
+
+
+def fit(rows: list[tuple[str | None, int]], least: int = 5, share: float = 0.04, ratio: float = 12.0) -> Grammar:
+    """rows: (text, 1 if toxic).
+
+    A form is a stem if `least` toxic texts and that share of them have it, if words pass it `ratio` times as often in
+    toxic texts as in clean ones, and if it reaches toxic texts that better stems leave out; of forms that contain each
+    other the one with the largest likelihood gain is kept, the longest of nearly equal ones. A logistic regression on
+    the evidence then sets bias and slope. Without toxic rows the grammar has no stems.
     """
-    bad = list(dict.fromkeys(t or "" for t, y in rows if y == 1))
-    good = list(dict.fromkeys(t or "" for t, y in rows if y == 0))
+    read = lambda y: [Counter(WORD.findall(t.lower())) for t in dict.fromkeys(t or "" for t, z in rows if z == y)]
+    bad = read(1)
     enough = max(least, share * len(bad))
-    where: dict[str, set[int]] = {}
-    for k, t in enumerate(bad):
-        for w in set(WORD.findall(t.lower())):
-            for f in _forms(w):
-                where.setdefault(f, set()).add(k)
-    where = {f: ks for f, ks in where.items() if len(ks) >= enough}
-    clean: Counter = Counter()
-    for t in good:
-        clean.update({f for w in set(WORD.findall(t.lower())) for f in _forms(w) if f in where})
-    scale = (len(good) + 1) / (len(bad) + 1)
-    pure = [f for f, ks in where.items() if clean[f] == 0 or len(ks) / clean[f] * scale >= purity]
-    stems, words, reached = {}, {}, set()
-    for f in sorted(pure, key=lambda f: (-len(where[f]), len(f), f)):
-        if len(where[f] - reached) < max(3, 0.2 * len(where[f])):
-            if len(where[f]) < 2 * enough or any(f.startswith(g) or g.startswith(f) for g in stems):
-                continue
+    where = _frequent(bad, enough)
+    inside, outside = Counter(), Counter()
+    for target, texts in ((inside, bad), (outside, read(0))):
+        for ws in texts:
+            for w, c in ws.items():
+                target[""] += c
+                if w[:SHORTEST] in where or f"{w}$" in where:  # no longer prefix is frequent where the shortest isn't
+                    for f in _forms(w):
+                        if f in where:
+                            target[f] += min(c, REPEATS)
+    rate = {f: (outside[f] + 0.5) / (outside[""] + 1) for f in where}
+    odds = {f: inside[f] / max(inside[""], 1) / rate[f] for f in where}
+    gain = {f: inside[f] * math.log(odds[f]) for f in where if odds[f] >= ratio}
+    related = lambda f, g: f.rstrip("$").startswith(g.rstrip("$")) or g.rstrip("$").startswith(f.rstrip("$"))
+    stems: list[str] = []
+    reached: set[int] = set()
+    for f in sorted(gain, key=lambda f: (-gain[f], -len(f), f)):
+        if any(related(f, g) for g in stems):
+            continue
+        if len(where[f] - reached) < max(3, 0.2 * len(where[f])) and len(where[f]) < 2 * enough:
+            continue
+        near = [g for g in gain if related(f, g) and g[-1] != "$" and gain[g] >= 0.97 * gain[f]]
+        f = max([f, *near], key=lambda g: (g[-1] != "$", len(g), g))
+        stems.append(f)
         reached |= where[f]
-        if f[-1] != "$":
-            longer = [g for g in pure if g.startswith(f) and g[-1] != "$" and len(where[g]) >= 0.97 * len(where[f])]
-            f = max(longer, key=lambda g: (len(g), g))
-        weight = math.log((len(where[f]) + 0.5) * scale / (clean[f] + 0.5))
-        if f[-1] == "$":
-            words[f[:-1]] = weight
-        else:
-            stems[f] = weight
-    return Grammar(stems, words)
+    grammar = Grammar({f: rate[f] for f in stems})
+    if stems:
+        points = [(math.log1p(grammar.evidence(t)[0]), y) for t, y in dict.fromkeys((t or "", y) for t, y in rows if y in (0, 1))]
+        grammar.bias, grammar.slope = _regress(points)
+    return grammar
+
+
+def _regress(points: list[tuple[float, int]], ridge: float = 0.05, rounds: int = 40) -> tuple[float, float]:
+    """Bias and slope of a logistic regression, with a small ridge so that separable points have an end."""
+    x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points], float)
+    w = np.zeros(2)
+    design = np.stack([np.ones_like(x), x], 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        gradient = design.T @ (y - p) - ridge * w
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        step = np.linalg.solve(hessian, gradient)
+        w += np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(w[0]), max(float(w[1]), 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = 2500, most_clean: int = 9000) -> Grammar:

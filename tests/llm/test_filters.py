@@ -33,7 +33,7 @@ def test_scripts_narrow_the_languages():
 
 
 def test_texts_without_letters():
-    assert [x[0] for x in langid.label(model(), [None, "", "123 !?", "the"])] == ["und", "und", "und", "en"]
+    assert [x[0] for x in langid.label(model(), [None, "", "123 !?", "the", "² ⅷ", "x²"])][:5] == ["und", "und", "und", "en", "und"]
     assert langid.label(langid.fit([]), ["the"]) == [("und", 0.0, [])]
 
 
@@ -68,16 +68,19 @@ def test_language_columns(spark):
     assert langid.train(df.withColumnRenamed("lang_pred", "lang").limit(0)).languages == []
 
 
-GRAMMAR = toxicity.Grammar({"idiot": 5.0, "scum": 4.0}, {"clown": 3.0})
+GRAMMAR = toxicity.Grammar({"idiot": 1e-6, "scum": 1e-6, "clown$": 1e-5, "often": 1e-2}, -6.0, 4.0)
+
+
+def weight(text):
+    return sum(GRAMMAR.clause(text.split()).values())
 
 
 def test_clauses():
-    plain, aimed = GRAMMAR.clause("what an idiot".split())[0], GRAMMAR.clause("you are an idiot".split())[0]
-    assert aimed > plain > GRAMMAR.clause("not an idiot".split())[0]
-    assert plain > GRAMMAR.clause("they reported an idiot".split())[0] - GRAMMAR.target
-    assert GRAMMAR.clause("i will kill you idiots".split())[0] > aimed
-    assert GRAMMAR.clause("kill the process".split()) == (0.0, 0)
-    assert GRAMMAR.clause("not one two three four idiot".split())[0] == plain
+    assert weight("you are an idiot") > weight("what an idiot") > weight("not an idiot") > 0
+    assert weight("what an idiot") > weight("he wrote an idiot") - GRAMMAR.target > 0
+    assert weight("i will kill you idiots") > weight("you are an idiot")
+    assert weight("kill the process") == weight("you will kill it") == 0
+    assert weight("not one two three four idiot") == weight("what an idiot")
 
 
 def test_scores():
@@ -86,20 +89,30 @@ def test_scores():
     assert GRAMMAR.score("Fine. IDIOTIC!")[0] > 0.7 and GRAMMAR.score("clowns")[0] == low and GRAMMAR.score("clown")[1] == 1
 
 
+def test_chance_and_repetition_are_no_evidence():
+    filler = " ".join(f"word{chr(97 + i % 26)}" for i in range(300))
+    assert GRAMMAR.evidence(f"{filler} often often often")[0] == 0.0
+    assert GRAMMAR.evidence("idiot " * 50)[0] == GRAMMAR.evidence("idiot idiot " + "x " * 48)[0]
+
+
 def test_learned_stems():
     rng = np.random.default_rng(1)
-    words = [f"w{i}x" for i in range(300)]
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
     clean = [(" ".join(rng.choice(words, 40)), 0) for _ in range(400)]
     toxic = [(" ".join([*rng.choice(words, 40), f"zorka{rng.choice(words)}"]), 1) for _ in range(60)]
     grammar = toxicity.fit(clean + toxic)
-    assert list(grammar.stems) == ["zorkaw"]
+    assert list(grammar.rates) == ["zorkaw"]
     assert all((grammar.score(t)[0] >= 0.7) == bool(y) for t, y in clean + toxic)
-    assert toxicity.fit([]).stems == toxicity.fit(clean).stems == {}
+    assert toxicity.fit([]).rates == toxicity.fit(clean).rates == {}
+    some = [(f"{t} zorkab" if i % 20 == 0 else t, 0) for i, (t, _) in enumerate(clean)]  # clean texts have a stem by chance
+    twice = [(f"{t} zorkaq zorkaz", 1) for t, _ in toxic]
+    grammar = toxicity.fit(some + twice)
+    assert sum(grammar.score(t)[0] >= 0.7 for t, _ in twice) == 60 and sum(grammar.score(t)[0] >= 0.7 for t, _ in some) == 0
 
 
 def test_toxicity_query(spark, tmp_path):
     rng = np.random.default_rng(2)
-    words = [f"w{i}x" for i in range(200)]
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)]
     rows = [(i, " ".join(rng.choice(words, 30)) + (" grubling" if i % 5 == 0 else "")) for i in range(500)] + [(500, None), (501, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)] + [(None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
