@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def grid(models: DataFrame, domains: DataFrame) -> DataFrame:
     """models (task, model) with domains (domain): one row for each run. Both are lists of names, so of bounded size."""
-    return models.crossJoin(F.broadcast(domains)).select("task", "model", "domain")
+    return models.crossJoin(domains).select("task", "model", "domain")
 
 
 def grid_of(spark: SparkSession, models: dict[str, list[str]], domains: list[str]) -> DataFrame:

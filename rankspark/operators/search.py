@@ -86,9 +86,9 @@ def pair_scores(queries: DataFrame, corpus: DataFrame, similarity: str = "dot",
 def blocks_joined(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Every query with every document. A query side of measured bounded size is broadcast; else both sides are dealt
     into blocks and joined on the pair of block numbers, so each task holds one block of queries."""
-    n = queries.count()
-    if n * 4096 <= BROADCAST_BYTES:
-        return corpus.crossJoin(F.broadcast(queries)) if n else corpus.limit(0).crossJoin(queries)
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if size <= BROADCAST_BYTES:
+        return corpus.crossJoin(F.broadcast(queries))
     nq, nd = -(-n // QUERY_BLOCK), max(1, -(-corpus.count() // DOCUMENT_BLOCK))
     left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
     right = corpus.withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.lit(nd))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))

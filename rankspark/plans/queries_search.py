@@ -134,7 +134,7 @@ def _by_domain(s: SparkSession, d: str) -> DataFrame:
     run, _ = _metric(s, d)
     domains = t.vector_queries(s, d).select("query_id", "domain")
     judged = t.vector_qrels(s, d)
-    found = metrics.per_query(run.join(F.broadcast(domains), "query_id"), judged, (10, 100), keys=["domain", "query_id"])
+    found = metrics.per_query(run.join(domains, "query_id"), judged, (10, 100), keys=["domain", "query_id"])
     return metrics.mean(found.drop("query_id"), ["domain"], 5, half_even=False)
 
 

@@ -106,7 +106,7 @@ def gold_coverage(s: SparkSession, d: str) -> DataFrame:
 def exclude_anti(s: SparkSession, d: str) -> DataFrame:
     from rankspark.operators import search
 
-    every = t.vector_corpus(s, d).select("doc_id").crossJoin(F.broadcast(t.vector_queries(s, d).select("query_id")))
+    every = search.blocks_joined(t.vector_queries(s, d).select("query_id"), t.vector_corpus(s, d).select("doc_id"))
     return search.exclude(every, t.exclusions(s, d)).groupBy("query_id").agg(F.count("*").alias("n_left"), F.sum(F.col("doc_id").cast("long")).alias("id_sum"))
 
 

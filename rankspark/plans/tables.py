@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark import schemas
+from rankspark.operators.search import blocks_joined
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,9 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is relevant for an item whose text it contains. The items are a fixed list of a few hundred."""
-    docs, items = text_corpus(spark, sf_dir), text_queries(spark, sf_dir)
-    return docs.join(F.broadcast(items), F.expr("contains(content, query)")).select("query_id", "doc_id").withColumn("rel", F.lit(1))
+    """A document is relevant for an item whose text it contains."""
+    both = blocks_joined(text_queries(spark, sf_dir), text_corpus(spark, sf_dir))
+    return both.where(F.expr("contains(content, query)")).select("query_id", "doc_id").withColumn("rel", F.lit(1))
 
 
 def vector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's own id, ids that are (query + id) divisible by 17, the mark for none, and an id that isn't there."""
     q = vector_queries(spark, sf_dir).select("query_id", "qpos")
     c = vector_corpus(spark, sf_dir).select("doc_id", "pos")
-    some = c.crossJoin(F.broadcast(q)).where("(pos + qpos) % 17 = 0 or pos = qpos").select("query_id", "doc_id")
+    some = blocks_joined(q, c).where("(pos + qpos) % 17 = 0 or pos = qpos").select("query_id", "doc_id")
     extra = q.select("query_id", F.explode(F.array(F.lit(schemas.NO_EXCLUSION), F.lit("nowhere"))).alias("doc_id"))
     return some.unionByName(extra)
 
@@ -52,7 +53,7 @@ def vector_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with the query's label, itself left out."""
     q = vector_queries(spark, sf_dir).select("domain", "query_id", "label")
     c = vector_corpus(spark, sf_dir).select("doc_id", "label")
-    return c.join(F.broadcast(q), "label").where("doc_id <> query_id").select("domain", "query_id", "doc_id", F.lit(1).alias("rel"))
+    return c.join(q, "label").where("doc_id <> query_id").select("domain", "query_id", "doc_id", F.lit(1).alias("rel"))
 
 
 #: The same in SQL, as the beginning of a WITH.

@@ -38,6 +38,18 @@ def test_backtracking_gives_what_the_merge_rules_give(raw):
     assert [OWN.token[i] for i in OWN.encode_piece(raw)] == OWN.merged(raw)
 
 
+def test_compatibility_table():
+    import random
+
+    rng = random.Random(1)
+    ids = [i for i in OWN.token if OWN.merged_whole(i)]
+    short = [i for i in ids if len(OWN.token[i]) <= 3]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(1500)] + [(rng.choice(short), rng.choice(short)) for _ in range(3000)] + [(i, i) for i in rng.sample(ids, 500)]
+    for a, b in pairs:
+        x, y = OWN.token[a], OWN.token[b]
+        assert OWN.compatible(a, b) == (OWN.merged(x + y) == [x, y]), (x, y)
+
+
 def test_decoding_of_ids_that_are_no_text():
     import numpy as np
 
