@@ -6,7 +6,9 @@ are weighted by the same formula (`bm25`, so idf enters squared) or by 1 each (`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.functions import text as T
@@ -65,30 +67,62 @@ def saturated(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float =
     return tf / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings (doc_id, pos, dl, term, tf) and one row of statistics (n, avgdl), of a corpus or read from tables."""
+
+    postings: DataFrame
+    statistics: DataFrame
+    analyzer: str = "simple"
+
+    @classmethod
+    def of(cls, corpus: DataFrame, analyzer: str = "simple", wanted: DataFrame | None = None) -> Index:
+        """wanted (term): only these terms' postings are made; the corpus is exploded against them."""
+        docs = analyzed(corpus, "doc_id", "content", analyzer)
+        rows = docs.select("doc_id", "pos", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+        rows = rows.join(wanted, "term", "left_semi") if wanted is not None else rows
+        return cls(rows.groupBy("doc_id", "pos", "dl", "term").agg(F.count("*").alias("tf")), corpus_statistics(docs), analyzer)
+
+    def write(self, path: str, parts: int = 64) -> None:
+        """Tables that many searches share: postings lie by term, so a search reads only what its terms' files hold."""
+        self.postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        self.statistics.write.parquet(f"{path}/statistics")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, analyzer: str = "simple") -> Index:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics"), analyzer)
+
+    def scores(self, queries: DataFrame, weighting: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, doc_id, pos, score) of queries (query_id, query) for documents that share a term.
+
+        Terms outside the corpus vanish from queries, from their lengths too.
+        """
+        asked = analyzed(queries, "query_id", "query", self.analyzer).withColumnRenamed("doc_id", "query_id")
+        postings = self.postings.join(asked.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+        frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+        weights = frequencies.crossJoin(F.broadcast(self.statistics)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")  # one row
+        q = term_frequencies(asked, "query_id").join(weights, "term")
+        if weighting == "bm25":
+            lengths = q.groupBy("query_id").agg(F.sum("tf").alias("ql"))
+            q = q.join(lengths, "query_id").withColumn("qw", F.col("idf") * saturated(F.col("tf"), F.col("ql"), F.col("avgdl"), k1, b))
+        elif weighting == "binary":
+            q = q.withColumn("qw", F.lit(1.0))
+        else:
+            raise ValueError(f"unknown weighting {weighting}")
+        scored = postings.join(q.select("query_id", "term", "qw", "idf", "avgdl"), "term")
+        weight = F.col("qw") * F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+        return scored.groupBy("query_id", "doc_id", "pos").agg(F.sum(weight).alias("score"))
+
+
 def bm25(queries: DataFrame, corpus: DataFrame, exclusions: DataFrame | None = None, k: int = 1000, weighting: str = "bm25", analyzer: str = "simple", k1: float = K1, b: float = B, pad_zero: bool = False) -> DataFrame:
-    """The run (query_id, doc_id, pos, score, rank). queries (query_id, query), corpus (doc_id, pos, content).
+    """The run (query_id, doc_id, pos, score, rank) of an index that is made for these queries alone.
 
-    Only postings of terms that some query has are made: the corpus is exploded against the distinct query terms. Terms
-    outside the corpus vanish from queries, from their lengths too. pad_zero: documents that match nothing follow with
-    score 0 in corpus order, as far as k goes.
+    queries (query_id, query), corpus (doc_id, pos, content). pad_zero: documents that match nothing follow with score 0
+    in corpus order, as far as k goes.
     """
-    docs = analyzed(corpus, "doc_id", "content", analyzer)
-    asked = analyzed(queries, "query_id", "query", analyzer).withColumnRenamed("doc_id", "query_id")
-    stats = F.broadcast(corpus_statistics(docs))  # one row
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    postings = docs.select("doc_id", "pos", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    postings = postings.groupBy("doc_id", "pos", "dl", "term").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = frequencies.crossJoin(stats).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
-    q = term_frequencies(asked, "query_id").join(weights, "term")
-    if weighting == "bm25":
-        lengths = q.groupBy("query_id").agg(F.sum("tf").alias("ql"))
-        q = q.join(lengths, "query_id").withColumn("qw", F.col("idf") * saturated(F.col("tf"), F.col("ql"), F.col("avgdl"), k1, b))
-    else:
-        q = q.withColumn("qw", F.lit(1.0))
-    scored = postings.join(q.select("query_id", "term", "qw", "idf", "avgdl"), "term")
-    weight = F.col("qw") * F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    scores = scored.groupBy("query_id", "doc_id", "pos").agg(F.sum(weight).alias("score"))
+    asked = analyzed(queries, "query_id", "query", analyzer)
+    index = Index.of(corpus, analyzer, asked.select(F.explode("terms").alias("term")).distinct())
+    scores = index.scores(queries, weighting, k1, b)
     if pad_zero:
         first = corpus.orderBy("pos").select("doc_id", "pos").limit(2 * k)  # enough to fill k places after any k matches
         none = queries.select("query_id").crossJoin(F.broadcast(first)).join(scores, ["query_id", "doc_id"], "left_anti")

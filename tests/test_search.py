@@ -75,6 +75,18 @@ def test_bm25_weights(spark):
     assert got == pytest.approx({"1": w(1, 2, 1) * w(2, 3, 1) + w(1, 2, 2) * w(1, 3, 2), "2": w(1, 2, 2) * w(1, 2, 2)})
 
 
+def test_written_index(spark, tmp_path):
+    queries, corpus = bm25_case(spark)
+    lexical.Index.of(corpus).write(str(tmp_path / "index"), 2)
+    kept = lexical.Index.read(spark, str(tmp_path / "index"))
+    assert kept.postings.count() == 6
+    for weighting in ("bm25", "binary"):
+        want = {(r["doc_id"], r["score"]) for r in lexical.bm25(queries, corpus, weighting=weighting).collect()}
+        assert {(r["doc_id"], r["score"]) for r in kept.scores(queries, weighting).collect()} == want
+    with pytest.raises(ValueError):
+        kept.scores(queries, "other")
+
+
 def test_bm25_zero_padding(spark):
     queries, corpus = bm25_case(spark)
     rows = lexical.bm25(queries, corpus, k=3, pad_zero=True).orderBy("rank").collect()
