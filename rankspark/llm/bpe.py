@@ -66,6 +66,10 @@ class ByteBpe:
         self.id_of = {b: i for i, b in self.token.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(to_bytes(a), to_bytes(b)): r for r, (a, b) in enumerate(merges)}
+        self.parts = {}
+        for (a, b), r in self.rank.items():
+            self.parts.setdefault(a + b, (a, b, r))
+        self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
         self.trie = ahocorasick.Automaton()
         for b, i in self.id_of.items():
             self.trie.add_word(b.decode("latin-1"), i)
@@ -93,14 +97,35 @@ class ByteBpe:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
+    def _spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
+        """What stands at a token's right or left end while it is being merged: each part with the rank of the merge
+        that takes it up, the token itself with one that never comes."""
+        known = self.spines.get((token, right))
+        if known is None:
+            known, part, until = [], self.token[token], 1 << 60
+            while True:
+                known.append((part, until))
+                if part not in self.parts:
+                    break
+                first, second, until = self.parts[part]
+                part = second if right else first
+            self.spines[token, right] = known
+        return known
+
     def compatible(self, a: int, b: int) -> bool:
-        """The pair-compatibility table, filled as pairs are met."""
+        """The pair-compatibility table, filled as pairs are met: no merge joins an end of a and a start of b before
+        merges inside the tokens take up both. Of equal merges the left one comes first."""
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            x, y = self.token[a], self.token[b]
-            known = self.pairs[a, b] = self.merged(x + y) == [x, y]
+            rank, known = self.rank.get, True
+            for x, x_until in self._spine(a, True):
+                for y, y_until in self._spine(b, False):
+                    r = rank((x, y))
+                    if r is not None and r < x_until and r <= y_until:
+                        known = False
+            self.pairs[a, b] = known
         return known
 
     def longest(self, s: str, at: int) -> int:
