@@ -95,19 +95,41 @@ def blocks_joined(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return right.join(left, ["_q", "_d"]).drop("_q", "_d")
 
 
-def _local_best(ids: np.ndarray, q: np.ndarray, docs: list, pos: np.ndarray, v: np.ndarray, k: int, scale: float) -> Iterator[tuple]:
-    """Each query's k best of a block. A matrix product finds them up to rounding; those near the boundary are scored
-    again one by one, in array order, so that results don't depend on the block."""
-    rough = q @ v.T
-    slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
-    for row in range(len(ids)):
-        near = np.arange(len(docs))
-        if len(docs) > k:
-            bound = np.partition(rough[row], len(docs) - k)[len(docs) - k]
-            near = np.flatnonzero(rough[row] >= bound - slack)
-        exact = np.add.accumulate(q[row] * v[near], axis=1)[:, -1] * scale if len(near) else np.zeros(0)
-        for j in np.lexsort((pos[near], -exact))[:k]:
-            yield ids[row], docs[near[j]], int(pos[near[j]]), float(exact[j])
+class _Best:
+    """The best rows of each query that a task has met, documents block by block."""
+
+    def __init__(self, q: np.ndarray, k: int, scale: float):
+        self.q, self.k, self.scale = q, k, scale
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, docs: np.ndarray, pos: np.ndarray, v: np.ndarray) -> None:
+        """A matrix product finds each query's candidates up to rounding; they are scored again one by one, in array
+        order, so that results don't depend on blocks."""
+        rough = self.q @ v.T
+        slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
+        for row in range(len(self.q)):
+            near = np.arange(len(docs))
+            if len(docs) > self.k:
+                bound = np.partition(rough[row], len(docs) - self.k)[len(docs) - self.k]
+                near = np.flatnonzero(rough[row] >= bound - slack)
+            exact = np.add.accumulate(self.q[row] * v[near], axis=1)[:, -1] * self.scale
+            best = np.lexsort((pos[near], -exact))[: self.k]
+            self.held.append((np.full(len(best), row), docs[near[best]], pos[near[best]], exact[best]))
+            self.size += len(best)
+        if self.size > max(1_000_000, 3 * len(self.q) * self.k):
+            self.prune()
+
+    def prune(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, document, position, score), k for each query at most."""
+        row, docs, pos, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((pos, -score, row))
+        ordered = row[order]
+        place = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+        keep = order[place < self.k]
+        self.held = [(row[keep], docs[keep], pos[keep], score[keep])]
+        self.size = len(keep)
+        return self.held[0]
 
 
 def dense(queries: DataFrame, corpus: DataFrame, k: int = KEPT, scale: float = 100.0, normalise: bool = False, exclusions: DataFrame | None = None) -> DataFrame:
@@ -128,9 +150,15 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = KEPT, scale: float = 1
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12) if normalise and len(x) else x
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["query_id", "doc_id", "pos", "score"])
+    names = ["query_id", "doc_id", "pos", "score"]
+    nothing = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.float64())], names=names)
+
+    def emit(ids: list[str], best: _Best) -> Iterator[pa.RecordBatch]:
+        row, found, pos, score = best.prune()
+        for at in range(0, len(row), 50_000):
+            part = slice(at, at + 50_000)
+            asked = pa.array(ids, pa.string()).take(pa.array(row[part]))
+            yield pa.RecordBatch.from_arrays([asked, pa.array(found[part], pa.string()), pa.array(pos[part]), pa.array(score[part])], names=names)
 
     def dense_block(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -141,10 +169,12 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = KEPT, scale: float = 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = handle.value
+            best = _Best(q, most, scale)
             for batch in batches:
-                v = unit(dense_block(batch.column("v")))
-                if len(v) and len(q):
-                    yield emit(list(_local_best(ids, q, batch.column("doc_id").to_pylist(), batch.column("pos").to_numpy(), v, most, scale)))
+                if batch.num_rows and len(q):
+                    best.add(np.array(batch.column("doc_id").to_pylist(), object), batch.column("pos").to_numpy(), unit(dense_block(batch.column("v"))))
+            if best.held:
+                yield from emit(ids, best)
 
         local = docs.mapInArrow(run, schema)
     else:
@@ -154,9 +184,11 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = KEPT, scale: float = 1
 
         def meet(left_: pa.Table, right_: pa.Table) -> pa.Table:
             if not left_.num_rows or not right_.num_rows:
-                return pa.Table.from_batches([emit([])])
+                return pa.Table.from_batches([nothing])
             q, v = (unit(dense_block(t["x"].combine_chunks())) for t in (left_, right_))
-            return pa.Table.from_batches([emit(list(_local_best(left_["id"].to_pylist(), q, right_["id"].to_pylist(), right_["pos"].to_numpy(), v, most, scale)))])
+            best = _Best(q, most, scale)
+            best.add(np.array(right_["id"].to_pylist(), object), right_["pos"].to_numpy(), v)
+            return pa.Table.from_batches(list(emit(left_["id"].to_pylist(), best)))
 
         local = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
     return search(local, exclusions, "before", k)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.functions import images as I
-from rankspark.functions import text as T
 from rankspark.operators import cache, experiments, pairs, qrels
 from rankspark.plans import tables as t
 from rankspark.sources.readers import list_or_empty
