@@ -23,7 +23,7 @@ PASSES = 16
 BITS = 48
 WINDOW = 24
 #: Vectors of a component that one task compares with so many others at a time.
-BLOCK = 512
+BLOCK = 128
 
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,64 +110,59 @@ def _dense(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(id, n): how many others of its component and label each vector links with, exactly.
+def count_links(members: DataFrame, threshold: float, block: int, most_blocks: int = 64) -> DataFrame:
+    """(id, n): how many others of its component each vector links with, exactly. Linked vectors share their label.
 
-    A component's members are dealt into blocks of about `block`; each pair of blocks is one piece of work, so even the
-    largest component is spread, and only counts leave a task.
+    A component's members are dealt into blocks of about `block`, into most_blocks at most, so a row is sent so many
+    times at most; each pair of blocks is one piece of work, and only counts leave a task.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    ways = F.least(F.lit(most_blocks), F.ceil(F.col("n") / block)).cast("int")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", ways).drop("n")
     dealt = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(4)), "blocks").cast("int"))
-    ways = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    work = dealt.withColumn("w", F.explode(ways)).select("component", "w.i", "w.j", "mine", "id", "label", "v")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    work = dealt.withColumn("w", F.explode(pairs)).select("component", "w.i", "w.j", "mine", "id", "v")
+
+    def linked(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+        left = [r for r in held if r[0] == key[1]]
+        right = left if key[1] == key[2] else [r for r in held if r[0] == key[2]]
+        if not left or not right:
+            return []
+        x, y = np.array([r[2] for r in left]), np.array([r[2] for r in right])
+        mine, theirs = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for at in range(0, len(x), 1024):
+            link = x[at : at + 1024] @ y.T >= threshold
+            if right is left:
+                link[np.arange(len(link)), np.arange(at, at + len(link))] = False
+            mine[at : at + 1024] = link.sum(1)
+            theirs += link.sum(0)
+        sides = [(left, mine)] if right is left else [(left, mine), (right, theirs)]
+        return [(r[1], int(n)) for rows, counts in sides for r, n in zip(rows, counts) if n]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
+        out: list[tuple[int, int]] = []
 
-        def done():
-            sides: dict[int, list] = {}
-            for mine, i, label, v in held:
-                sides.setdefault(mine, []).append((i, label, v))
-            (_, a, b) = key
-            left, right = sides.get(a, []), sides.get(b, [])
-            if not left or not right:
-                return None
-            x, y = np.array([r[2] for r in left]), np.array([r[2] for r in right])
-            same = np.array([r[1] for r in left], object)[:, None] == np.array([r[1] for r in right], object)[None, :]
-            link = (_cosines(x, y) >= threshold) & same
-            if a == b:
-                np.fill_diagonal(link, False)
-                return [(r[0], int(n)) for r, n in zip(left, link.sum(1)) if n]
-            return [(r[0], int(n)) for r, n in zip(left, link.sum(1)) if n] + [(r[0], int(n)) for r, n in zip(right, link.sum(0)) if n]
-
-        def emit(rows):
+        def emit(rows: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "n"])
 
-        out: list[tuple[int, int]] = []
         for batch in batches:
             x = _dense(batch.column("v"))
-            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "mine", "id", "label")]
-            for k, (c, i, j, mine, id_, label) in enumerate(zip(*columns)):
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "mine", "id")]
+            for k, (c, i, j, mine, id_) in enumerate(zip(*columns)):
                 if (c, i, j) != key:
-                    if held:
-                        out += done() or []
+                    out += linked(key, held) if held else []
                     key, held = (c, i, j), []
                     if len(out) > 50_000:
                         yield emit(out)
                         out = []
-                held.append((mine, id_, label, x[k]))
-        if held:
-            out += done() or []
+                held.append((mine, id_, x[k]))
+        out += linked(key, held) if held else []
         yield emit(out)
 
     counted = work.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(count, "id long, n long")
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return x @ y.T
-
-
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = SIMILAR, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per vector of df: vec_id, n_links, component_id, kept.
 
