@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.llm import jaccard, langid, packing, suffix_dedup, toxicity
-from rankspark.llm.common import crc_bucket, free_name, materialize
+from rankspark.llm.common import bound_batches, crc_bucket, free_name, materialize
 
 #: A text whose words tell less than this for its language is rejected: it is junk, not a text in a learned language.
 LEAST_LANGUAGE = 0.1
@@ -29,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     If there is no labelled row to learn from, only documents without a letter go.
     """
+    bound_batches(spark)
     model = langid.train(docs.where(F.coalesce(crc_bucket("doc_id", 4), F.lit(0)) != 2))
     pred, score = free_name(docs, "_lang"), free_name(docs, "_score")
     if not model.languages:
@@ -40,6 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores as toxic go. It is learned from labels of the documents that are still here."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     grammar = toxicity.train(docs, labels.where(crc_bucket("doc_id", 3) != 1))
     score = free_name(docs, "_toxicity")
@@ -49,6 +51,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays. Of rows that repeat an id, one stays;
     rows without an id have no group and stay."""
+    bound_batches(spark)
     keep, named = free_name(docs, "_keep"), docs.where("doc_id is not null")
     first = jaccard.join_classes(named).where("id = component_id").select(F.col("id").alias(keep)).distinct()
     kept = named.join(first, F.col("doc_id") == F.col(keep), "left_semi").dropDuplicates(["doc_id"])
@@ -58,6 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every string of 400 bytes that is in the corpus twice is cut out of the texts, and n_chars follows. Documents
     stay, also those that nothing is left of; null texts stay null."""
+    bound_batches(spark)
     kept, removed, spans = (free_name(docs, x) for x in ("_kept", "_removed", "_spans"))
     found = suffix_dedup.remove_repeats(docs, rest="text", kept=kept, removed=removed, spans=spans)
     text = F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))
@@ -68,6 +72,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All texts as pieces of at most 2,048 tokens in as few sequences: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset."""
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -32,6 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: with long texts, Spark's default of 10,000 is many tens of MB for each of a task's buffers.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of rows of an Arrow batch, if it is higher than BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -97,6 +112,18 @@ def per_worker(kind, *args):
 
 
 def make_room(operator: str = "") -> None:
-    """Drop what other operators than this module's have kept in this worker."""
+    """At a task's start: drop what other operators than this module's have kept in this worker, and give memory that is
+    free, but held by Arrow's pool or the C library, back to the machine."""
     for key in [k for k in _held if k[0].__module__ != operator]:
         del _held[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trim(cache: dict, most: int) -> None:
+    """If there are more than `most` entries, the newest half goes: words that are used often were met first."""
+    if len(cache) > most:
+        while len(cache) > most // 2:
+            cache.popitem()

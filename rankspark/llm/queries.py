@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.llm import bpe, html_text, jaccard, langid, packing, sharding, suffix_dedup, topk, toxicity, vectors_dedup
-from rankspark.llm.common import crc_bucket
+from rankspark.llm.common import bound_batches, crc_bucket
 
 #: A text is toxic from this score on.
 TOXIC_FROM = 0.7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
