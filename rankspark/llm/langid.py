@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import make_room, require, with_fields
+from rankspark.llm.common import make_room, require, trim, with_fields
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+#: Blocks with numbers that aren't decimal digits.
+NUMERIC = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0660-\u0fff\u1369-\u137c\u2070-\u218b\u2460-\u24ff\u2776-\u2793\u3007-\u3029\u3192-\u33ff\U00010000-\U0001ffff]")
 #: First code points of blocks of scripts; a script lasts until the next one begins.
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"),
@@ -34,7 +36,7 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 #: Log score of a word for languages that its script rules out, and the price of a switch between words.
 RULED_OUT = -60.0
 SWITCH = 8.0
-CACHED = 300_000
+CACHED = 200_000
 CELLS = 400_000
 
 
@@ -80,9 +82,8 @@ class Model:
         return np.where(learned, np.where(may, np.maximum(s - np.where(learned, best, 0), RULED_OUT / 2), RULED_OUT), 0).astype(np.float32)
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """For each text, rows of the table `known` for its words; the table starts anew when it is full."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
+        """For each text, rows of the table `known` for its words; a word's row is its place in the cache."""
+        trim(self.cache, CACHED)
         cache = self.cache
         if not cache:
             self.known = np.zeros((0, len(self.languages)), np.float32)
@@ -99,31 +100,41 @@ class Model:
         return [np.fromiter(map(cache.__getitem__, t), np.int64, len(t)) for t in texts]
 
 
-def fit(rows: list[tuple[str, str]], most_grams: int = 60_000) -> Model:
+def fit(rows: list[tuple[str | None, str]], most_grams: int = 60_000) -> Model:
     """rows: (text, language). Counts of n-grams and words by language, smoothed; the commonest are kept."""
     words: dict[str, Counter] = defaultdict(Counter)
     for text, lang in rows:
         words[lang].update(WORD.findall((text or "").lower()))
     languages = sorted(k for k, c in words.items() if c)
-    counts: dict[str, np.ndarray] = {}
+    by_language: list[Counter] = []
     scripts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
     for k, lang in enumerate(languages):
+        found: Counter = Counter()
         for w, n in words[lang].items():
             scripts[script_of(w[0])][k] += n
-            for g in {f" {w}"} | set(grams(w)):
-                if g not in counts:
-                    counts[g] = np.zeros(len(languages))
-                counts[g][k] += min(n, 50)  # a word counts for its n-grams by how often it is used, up to a point
-    kept = sorted(counts, key=lambda g: (-counts[g].sum(), g))[:most_grams]
+            for g in set(grams(w)):
+                found[g] += min(n, 50)  # a word counts for its n-grams by how often it is used, up to a point
+            if n > 1:
+                found[f" {w}"] += min(n, 50)
+        by_language.append(found)
     totals = np.array([sum(words[lang].values()) for lang in languages], float) if languages else np.zeros(0)
-    smooth = 0.5
-    norm = np.log(totals + 1)
-    kept = [g for g in kept if counts[g].sum() >= 2]
-    table = np.log(np.array([counts[g] for g in kept] + [np.zeros(len(languages))]).reshape(len(kept) + 1, len(languages)) + smooth) - norm
+    words.clear()
+    together: Counter = Counter()
+    for found in by_language:
+        together.update(found)
+    kept = [g for g, n in sorted(together.items(), key=lambda x: (-x[1], x[0]))[:most_grams] if n >= 2]
+    counts = np.array([[found[g] for found in by_language] for g in kept] + [[0] * len(languages)], float).reshape(len(kept) + 1, len(languages))
+    table = np.log(counts + 0.5) - np.log(totals + 1)
     allowed = {s: v >= 0.005 * totals for s, v in scripts.items() if (v >= 0.005 * totals).any()}
     return Model(languages, {g: k for k, g in enumerate(kept)}, table, allowed)
 
 
+def _words(text: str) -> list[str]:
+    """Lower-case words; superscripts and the like are no letters, though they are word characters."""
+    found = WORD.findall(text.lower())
+    return [w for w in found if any(map(str.isalpha, w))] if NUMERIC.search(text) else found
+
+
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """Best label of each word of several texts at once; scores: one array (words, languages) for each text."""
     out: list[np.ndarray] = [np.zeros(len(s), np.int64) for s in scores]
@@ -175,7 +186,7 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
     """
     if not model.languages:
         return [(UNKNOWN, 0.0, []) for _ in texts]
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    words = [_words(t) if t else [] for t in texts]
     ids = model.ids(words)
     table = model.known
     paths = viterbi([table[i] for i in ids])
@@ -196,7 +207,7 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
     return out
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 6000, key: str = "doc_id") -> Model:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 4000, key: str = "doc_id") -> Model:
     """Fit on a bounded sample of labelled rows: about most_rows of them, chosen by a hash of the key.
 
     Rows whose language is null or blank are left out. With no such row the model knows no language.
@@ -224,8 +235,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 found = label(handle.value, batch.column(text).to_pylist())
                 columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 if spans:

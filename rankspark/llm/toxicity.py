@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import make_room, require, with_fields
+from rankspark.llm.common import make_room, require, trim, with_fields
 
 #: Word lists of the grammar's small transducers, in the four languages of the corpus.
 TARGETS = frozenset("you your yours u ye he him she her they them these those people tu te vous ton votre eux du dich dir ihr euch sie ihn él ella ellos usted ustedes vosotros".split())
@@ -60,8 +60,7 @@ class Grammar:
         if known is None:
             passed = [f for f in _forms(word) if f in self.rates]
             known = min(passed, key=lambda f: (self.rates[f], f), default="")
-            if len(self.cache) > 100_000:
-                self.cache.clear()
+            trim(self.cache, 60_000)
             self.cache[word] = known
         return known
 
@@ -162,8 +161,8 @@ def fit(rows: list[tuple[str | None, int]], least: int = 5, share: float = 0.04,
     other the one with the largest likelihood gain is kept, the longest of nearly equal ones. A logistic regression on
     the evidence then sets bias and slope. Without toxic rows the grammar has no stems.
     """
-    read = lambda y: [Counter(WORD.findall(t.lower())) for t in dict.fromkeys(t or "" for t, z in rows if z == y)]
-    bad = read(1)
+    read = lambda y: (Counter(WORD.findall(t.lower())) for t in dict.fromkeys(t or "" for t, z in rows if z == y))
+    bad = list(read(1))
     enough = max(least, share * len(bad))
     where = _frequent(bad, enough)
     inside, outside = Counter(), Counter()
@@ -213,7 +212,7 @@ def _regress(points: list[tuple[float, int]], ridge: float = 0.05, rounds: int =
     return float(w[0]), max(float(w[1]), 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = 2500, most_clean: int = 9000) -> Grammar:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = 2000, most_clean: int = 6000) -> Grammar:
     """Fit on a bounded sample of labelled rows, most_toxic and most_clean of them at most, by a hash of the id.
 
     Rows of documents with no label, or a label other than 0 and 1, are left out.
