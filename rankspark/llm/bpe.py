@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm import latin
-from rankspark.llm.common import per_worker, replace_columns, require, with_fields
+from rankspark.llm.common import make_room, per_worker, replace_columns, require, trim, with_fields
 
 #: The published byte-level pattern, for any text and for Latin text, and the bytes that stand for
 #: themselves in its alphabet.
@@ -28,7 +28,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 LATIN_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{latin.LETTERS}]+| ?[{latin.NUMBERS}]+| ?[^{latin.SPACES}{latin.LETTERS}{latin.NUMBERS}]+|[{latin.SPACES}]+(?![^{latin.SPACES}])|[{latin.SPACES}]+"
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: A worker keeps the ids of so many pieces; then it starts anew.
+#: A worker keeps the ids of so many pieces at most.
 CACHED = 200_000
 PAIRS = 400_000
 
@@ -164,8 +164,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; the special tokens' strings become their ids, as the library's default has it."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
+        trim(self.cache, CACHED)
         get = self.cache.__getitem__
         find = self.pattern.findall if latin.BEYOND.search(text) else self.latin.findall
         if self.cut is None or not self.cut.search(text):
@@ -221,6 +220,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
     df = replace_columns(df, ids) if ids != text else df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         bpe = per_worker(ByteBpe, tokenizer)
         for batch in batches:
             texts = batch.column(text).to_pylist()
@@ -243,6 +243,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     df = replace_columns(df, text) if ids != text else df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         table = per_worker(OffsetTable, tokenizer)
         for batch in batches:
             column = batch.column(ids)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm import hashing
-from rankspark.llm.common import materialize, require
+from rankspark.llm.common import make_room, materialize, require
 from rankspark.llm.components import components
 
 WORDS = 5
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, n, set_key, tokens, bits) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -220,6 +221,7 @@ def _pair_batch(pairs) -> pa.RecordBatch:
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket part's candidates a spanning forest of the likeliest pairs, by ids where they are equally likely,
     so that buckets choose the same pairs."""
+    make_room(__name__)
     out: set[tuple[int, int]] = set()
     for _, (ids, n, bits) in _groups(batches, ["token", "part"], ["id", "n", "bits"]):
         if len(ids) < 2:
@@ -251,6 +253,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every candidate pair of a bucket that lies between two components."""
+    make_room(__name__)
     out: set[tuple[int, int]] = set()
     for key, (ids, n, bits, component, mine) in _groups(batches, ["token", "i", "j"], ["id", "n", "bits", "component", "mine"]):
         who, comp, side = np.array(ids), np.array(component), np.array(mine)
@@ -271,6 +274,7 @@ def exact_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataF
     """(id, tokens) of some documents, hashes cut to six bytes each: enough to compare two sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm import latin
-from rankspark.llm.common import materialize, per_worker, require
+from rankspark.llm.common import make_room, materialize, per_worker, require, trim
 
 CAPACITY = 2048
 END = 0
 #: The pattern of the word tokenizer's pieces, for Latin text.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{latin.LETTERS}]+|[{latin.NUMBERS}]|[^{latin.SPACES}{latin.LETTERS}{latin.NUMBERS}]+"
-CACHED = 600_000
+CACHED = 400_000
 
 
 class WordTokenizer:
@@ -71,8 +71,7 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none. Texts of a vocabulary of another kind go to the library whole."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
+        trim(self.cache, CACHED)
         pieces = [None if t and (not self.by_word or self.whole.search(t)) else self.pattern.findall(unicodedata.normalize("NFC", t or "").lower()) for t in texts]
         self._learn(list(set().union(*(p for p in pieces if p)).difference(self.cache)))
         get = self.cache.__getitem__
@@ -86,6 +85,7 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         words = per_worker(WordTokenizer, tokenizer)
         for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             rows: list[tuple] = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm import hashing
-from rankspark.llm.common import free_name, materialize, require
+from rankspark.llm.common import free_name, make_room, materialize, require
 
 LENGTH = 400
 ANCHOR = 160
@@ -193,6 +193,7 @@ def _spread(length: int, block: int, ways: int):
                     yield _rows([(1, b, None, None, None, None, None, one[order[cuts[b] : cuts[b + 1]]].tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         held: dict[tuple, list] = {}
         many: list[np.ndarray] = []
         size = 0
@@ -280,6 +281,7 @@ def _settle(length: int):
         return list(_spans(x[weight[group] > 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         key, group, out = None, [], []
 
         def done() -> list[tuple]:
@@ -310,6 +312,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, block: int = ANCHOR, many: in
     (rid, spans): the repeated strings as an array of (first, n)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         for b in batches:
             rids, found, weights = [], [], []
             for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist()):
@@ -374,6 +377,7 @@ def cut_texts(docs: DataFrame, length: int, rest: str) -> DataFrame:
     left = {"bytes": bytes, "text": lambda x: x.decode("utf-8", "ignore"), "sha256": lambda x: hashlib.sha256(x).hexdigest()}[rest]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         for b in batches:
             out = []
             for rid, t, found in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "spans"))):
