@@ -33,8 +33,9 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SHORTEST, LONGEST = 4, 10
 #: A negation reaches so many words.
 REACH = 3
-#: A word that a text repeats counts so many times at most: repetition is no insult.
+#: So many of a word's matches count in full, further ones by the share of the text that lies beyond so many words.
 REPEATS = 2
+PASSAGE = 50
 
 
 @dataclass
@@ -107,7 +108,7 @@ class Grammar:
                     matched[w] = matched.get(w, 0.0) + c
         counts: dict[str, float] = {}
         for w, c in matched.items():
-            counts[stem(w)] = counts.get(stem(w), 0.0) + min(c, REPEATS)
+            counts[stem(w)] = counts.get(stem(w), 0.0) + _damped(c, len(words))
         total = 0.0
         for f, c in counts.items():
             chance = len(words) * self.rates[f]
@@ -125,6 +126,11 @@ def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
+def _damped(count: float, words: int) -> float:
+    """A word's matches in a text of so many words: repetition alone is no insult in a line, but grows with a text."""
+    return min(count, REPEATS) + max(count - REPEATS, 0.0) * max(0.0, 1 - PASSAGE / max(words, 1))
+
+
 def _forms(word: str) -> Iterator[str]:
     yield f"{word}$"
     for n in range(SHORTEST, min(LONGEST, len(word)) + 1):
@@ -168,12 +174,13 @@ def fit(rows: list[tuple[str | None, int]], least: int = 5, share: float = 0.04,
     inside, outside = Counter(), Counter()
     for target, texts in ((inside, bad), (outside, read(0))):
         for ws in texts:
+            size = sum(ws.values())
+            target[""] += size
             for w, c in ws.items():
-                target[""] += c
                 if w[:SHORTEST] in where or f"{w}$" in where:  # no longer prefix is frequent where the shortest isn't
                     for f in _forms(w):
                         if f in where:
-                            target[f] += min(c, REPEATS)
+                            target[f] += _damped(c, size)
     rate = {f: (outside[f] + 0.5) / (outside[""] + 1) for f in where}
     odds = {f: inside[f] / max(inside[""], 1) / rate[f] for f in where}
     gain = {f: inside[f] * math.log(odds[f]) for f in where if odds[f] >= ratio}

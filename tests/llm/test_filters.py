@@ -95,6 +95,15 @@ def test_chance_and_repetition_are_no_evidence():
     assert GRAMMAR.evidence("idiot " * 50)[0] == GRAMMAR.evidence("idiot idiot " + "x " * 48)[0]
 
 
+def test_repeats_grow_with_a_text():
+    filler = " ".join(f"word{chr(97 + i % 26)}" for i in range(600))
+    found = [GRAMMAR.evidence(f"{filler} {'clown ' * n}")[0] for n in (2, 20, 80)]
+    assert found[0] > 0 and found[1] > 8 * found[0] and found[2] > 3 * found[1]
+    long = " ".join([filler] * 20)  # chance gives more than two matches in so many words
+    rare = toxicity.Grammar({"grubl": 3e-4}, -6.0, 4.0)
+    assert rare.evidence(f"{long} {'grubl ' * 2}")[0] == 0.0 and rare.score(f"{long} {'grubl ' * 400}")[0] > 0.7
+
+
 def test_learned_stems():
     rng = np.random.default_rng(1)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
