@@ -137,65 +137,77 @@ def _forms(word: str) -> Iterator[str]:
         yield word[:n]
 
 
-def _frequent(texts: list[Counter], enough: float) -> dict[str, set[int]]:
-    """Prefixes of words (SHORTEST to LONGEST letters), and whole words with a `$`, that enough texts have, with these
-    texts. Level by level: a prefix is looked at only if the one before it is frequent, so few are held at a time."""
-    out: dict[str, set[int]] = {}
-    level: dict[str, set[int]] = {}
+def _frequent(texts: list[Counter], enough: float) -> Counter:
+    """Prefixes of words (SHORTEST to LONGEST letters), and whole words with a `$`, that enough texts have, with the
+    number of these texts. Level by level: a prefix is looked at only if the one before it is frequent."""
+    out: Counter = Counter()
+    level: Counter = Counter()
     for n in range(SHORTEST, LONGEST + 1):
         counts: Counter = Counter()
-        cut = lambda ws: {w[:n] for w in ws if len(w) >= n and (n == SHORTEST or w[: n - 1] in level)}  # noqa: B023, E731
         for ws in texts:
-            counts.update(cut(ws))
-        where: dict[str, set[int]] = {f: set() for f, c in counts.items() if c >= enough}
-        for k, ws in enumerate(texts):
-            for f in cut(ws):
-                if f in where:
-                    where[f].add(k)
-        level = where
-        out |= where
+            counts.update({w[:n] for w in ws if len(w) >= n and (n == SHORTEST or w[: n - 1] in level)})
+        level = Counter({f: c for f, c in counts.items() if c >= enough})
+        out |= level
     whole = Counter(w for ws in texts for w in ws)
-    out |= {f"{w}$": {k for k, ws in enumerate(texts) if w in ws} for w, c in whole.items() if c >= enough}
-    return out
+    return out | Counter({f"{w}$": c for w, c in whole.items() if c >= enough})
+
 
+def _beyond_chance(bad: int, good: int, share: float) -> float:
+    """Log likelihood ratio: so many toxic and clean texts have a form, where chance makes this share of them toxic."""
+    n = bad + good
+    return sum(k * math.log(k / (n * p)) for k, p in ((bad, share), (good, 1 - share)) if k and p)
 
-def fit(rows: list[tuple[str | None, int]], least: int = 5, share: float = 0.04, ratio: float = 12.0) -> Grammar:
+
+def fit(rows: list[tuple[str | None, int]], least: int = 5, ratio: float = 12.0) -> Grammar:
     """rows: (text, 1 if toxic).
 
-    A form is a stem if `least` toxic texts and that share of them have it, if words pass it `ratio` times as often in
-    toxic texts as in clean ones, and if it reaches toxic texts that better stems leave out; of forms that contain each
-    other the one with the largest likelihood gain is kept, the longest of nearly equal ones. A logistic regression on
-    the evidence then sets bias and slope. Without toxic rows the grammar has no stems.
+    A form is a stem if `least` toxic texts have it, more than chance gives any of so many forms, if words pass it
+    `ratio` times as often in toxic texts as in clean ones, and if it reaches toxic texts that no one better stem has; of
+    forms that contain each other the one with the largest likelihood gain is kept, the longest of nearly equal ones. No
+    share of the toxic texts is asked for, so a small language has its stems too. A logistic regression on the evidence
+    then sets bias and slope. Without toxic rows the grammar has no stems.
     """
     read = lambda y: (Counter(WORD.findall(t.lower())) for t in dict.fromkeys(t or "" for t, z in rows if z == y))
     bad = list(read(1))
-    enough = max(least, share * len(bad))
-    where = _frequent(bad, enough)
-    inside, outside = Counter(), Counter()
+    frequent = _frequent(bad, least)
+    inside, outside, clean = Counter(), Counter(), Counter()
+    cleans = 0
     for target, texts in ((inside, bad), (outside, read(0))):
         for ws in texts:
             size = sum(ws.values())
             target[""] += size
+            has: set[str] = set()
             for w, c in ws.items():
-                if w[:SHORTEST] in where or f"{w}$" in where:  # no longer prefix is frequent where the shortest isn't
+                if w[:SHORTEST] in frequent or f"{w}$" in frequent:  # no longer prefix is frequent where the shortest isn't
                     for f in _forms(w):
-                        if f in where:
+                        if f in frequent:
                             target[f] += _damped(c, size)
-    rate = {f: (outside[f] + 0.5) / (outside[""] + 1) for f in where}
-    odds = {f: inside[f] / max(inside[""], 1) / rate[f] for f in where}
-    gain = {f: inside[f] * math.log(odds[f]) for f in where if odds[f] >= ratio}
+                            has.add(f)
+            if target is outside:
+                cleans += 1
+                clean.update(has)
+    rate = {f: (outside[f] + 0.5) / (outside[""] + 1) for f in frequent}
+    odds = {f: inside[f] / max(inside[""], 1) / rate[f] for f in frequent}
+    share = len(bad) / max(len(bad) + cleans, 1)
+    bar = math.log(100 * max(len(frequent), 1))
+    gain = {f: inside[f] * math.log(odds[f]) for f in frequent if odds[f] >= ratio and (not cleans or _beyond_chance(frequent[f], clean[f], share) >= bar)}
+    where: dict[str, set[int]] = {f: set() for f in gain}
+    for k, ws in enumerate(bad):
+        for w in ws:
+            for f in _forms(w):
+                if f in where:
+                    where[f].add(k)
     related = lambda f, g: f.rstrip("$").startswith(g.rstrip("$")) or g.rstrip("$").startswith(f.rstrip("$"))
     stems: list[str] = []
-    reached: set[int] = set()
     for f in sorted(gain, key=lambda f: (-gain[f], -len(f), f)):
         if any(related(f, g) for g in stems):
             continue
-        if len(where[f] - reached) < max(3, 0.2 * len(where[f])) and len(where[f]) < 2 * enough:
+        new = max(3, 0.2 * len(where[f]))
+        if any(len(where[f] - where[g]) < new for g in stems):  # words of copied texts come together, insults each with others
             continue
         near = [g for g in gain if related(f, g) and g[-1] != "$" and gain[g] >= 0.97 * gain[f]]
         f = max([f, *near], key=lambda g: (g[-1] != "$", len(g), g))
         stems.append(f)
-        reached |= where[f]
     grammar = Grammar({f: rate[f] for f in stems})
     if stems:
         points = [(math.log1p(grammar.evidence(t)[0]), y) for t, y in dict.fromkeys((t or "", y) for t, y in rows if y in (0, 1))]

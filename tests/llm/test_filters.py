@@ -119,6 +119,17 @@ def test_learned_stems():
     assert sum(grammar.score(t)[0] >= 0.7 for t, _ in twice) == 60 and sum(grammar.score(t)[0] >= 0.7 for t, _ in some) == 0
 
 
+def test_a_small_language_has_its_stems():
+    rng = np.random.default_rng(3)
+    words = {x: [f"{x}{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)] for x in "wv"}
+    text = lambda x, *more: " ".join([*rng.choice(words[x], 30), *more])
+    clean = [(text("w"), 0) for _ in range(1200)] + [(text("v"), 0) for _ in range(400)]
+    large, small = [(text("w", "zorka"), 1) for _ in range(400)], [(text("v", "grubl"), 1) for _ in range(14)]
+    grammar = toxicity.fit(clean + large + small)
+    assert sorted(grammar.rates) == ["grubl", "zorka"]
+    assert all((grammar.score(t)[0] >= 0.7) == bool(y) for t, y in clean + large + small)
+
+
 def test_toxicity_query(spark, tmp_path):
     rng = np.random.default_rng(2)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)]
