@@ -1,7 +1,7 @@
 """Near duplicates among embeddings by sorted projection passes.
 
-Each pass gives a vector the concatenated bits of random hyperplanes and sorts the vectors of a label by them; a vector
-is compared with a bounded window of followers, pairs are verified by their cosine, and verified pairs of all passes
+Equal vectors of a label are one representative with a weight. Each pass gives a representative the concatenated bits of
+random hyperplanes through its label's centre and sorts those of a label by them; a vector is compared with a bounded window of followers, pairs are verified by their cosine, and verified pairs of all passes
 are united. A window bounds what a pass sees of a group, not what is found: two linked vectors are in one component, so
 the links inside each component are counted afterwards exactly, in blocks.
 """
@@ -67,6 +67,38 @@ def _units(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     return base.mapInArrow(run, "id long, label string, v array<double>")
 
 
+def representatives(units: DataFrame) -> DataFrame:
+    """(id, label, v, copies): equal vectors of a label as one row, with the smallest id of them and their number."""
+    return units.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "label", "v", "copies")
+
+
+def centres(units: DataFrame) -> DataFrame:
+    """(label, centre): the mean of each label's vectors, summed in each task before the exchange."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tolist() for _, t in sums.values()], pa.list_(pa.float64()))], names=["label", "n", "v"])
+
+        for batch in batches:
+            for lab, row in zip(batch.column("label").to_pylist(), _dense(batch.column("v"))):
+                known = sums.get(lab)
+                if known is None:
+                    sums[lab] = [1, row.copy()]
+                else:
+                    known[0] += 1
+                    known[1] += row
+            if len(sums) > 5_000:  # many labels: pass the sums on, the aggregation joins them
+                yield out()
+                sums = {}
+        yield out()
+
+    parts = units.mapInArrow(partial, "label string, n long, v array<double>").select("label", "n", F.posexplode("v").alias("pos", "x"))
+    means = parts.groupBy("label", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c")).select("label", F.col("c.x").alias("centre"))
+
+
 def candidates(units: DataFrame, threshold: float, passes: int, bits: int, window: int) -> DataFrame:
     """Verified pairs as local stars (a, b): what the windows of all passes link."""
 
@@ -77,7 +109,7 @@ def candidates(units: DataFrame, threshold: float, passes: int, bits: int, windo
             if len(x):
                 if planes is None or planes.shape[1] != x.shape[1]:
                     planes = hyperplanes(x.shape[1], passes, bits)
-                keys = _keys(x, planes)
+                keys = _keys(x - _dense(batch.column("centre")), planes)
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), batch.column("label"), pa.array(keys[:, p]), batch.column("id"), batch.column("v")], names=["pass", "label", "key", "id", "v"])
 
@@ -98,7 +130,7 @@ def candidates(units: DataFrame, threshold: float, passes: int, bits: int, windo
         stars = [p for p in local_forest(pairs) if p[0] != p[1]]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in stars], pa.int64()), pa.array([p[1] for p in stars], pa.int64())], names=["a", "b"])
 
-    keyed = units.mapInArrow(explode, "pass int, label string, key long, id long, v array<double>")
+    keyed = units.select("id", "label", "v").join(materialize(centres(units), "centres"), "label").mapInArrow(explode, "pass int, label string, key long, id long, v array<double>")
     dealt = keyed.repartitionByRange("pass", "label", "key", "id").sortWithinPartitions("pass", "label", "key", "id")
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -114,13 +146,13 @@ def count_links(members: DataFrame, threshold: float, block: int, most_blocks: i
     """(id, n): how many others of its component each vector links with, exactly. Linked vectors share their label.
 
     A component's members are dealt into blocks of about `block`, into most_blocks at most, so a row is sent so many
-    times at most; each pair of blocks is one piece of work, and only counts leave a task.
+    times at most; each pair of blocks is one piece of work, and only counts leave a task. A member counts `copies` times.
     """
     ways = F.least(F.lit(most_blocks), F.ceil(F.col("n") / block)).cast("int")
     sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", ways).drop("n")
     dealt = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(4)), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    work = dealt.withColumn("w", F.explode(pairs)).select("component", "w.i", "w.j", "mine", "id", "v")
+    work = dealt.withColumn("w", F.explode(pairs)).select("component", "w.i", "w.j", "mine", "id", "v", "copies")
 
     def linked(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
         left = [r for r in held if r[0] == key[1]]
@@ -129,12 +161,13 @@ def count_links(members: DataFrame, threshold: float, block: int, most_blocks: i
             return []
         x, y = np.array([r[2] for r in left]), np.array([r[2] for r in right])
         mine, theirs = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        weights, others = np.array([r[3] for r in left], np.int64), np.array([r[3] for r in right], np.int64)
         for at in range(0, len(x), 1024):
             link = x[at : at + 1024] @ y.T >= threshold
             if right is left:
                 link[np.arange(len(link)), np.arange(at, at + len(link))] = False
-            mine[at : at + 1024] = link.sum(1)
-            theirs += link.sum(0)
+            mine[at : at + 1024] = link @ others
+            theirs += weights[at : at + 1024] @ link
         sides = [(left, mine)] if right is left else [(left, mine), (right, theirs)]
         return [(r[1], int(n)) for rows, counts in sides for r, n in zip(rows, counts) if n]
 
@@ -147,15 +180,15 @@ def count_links(members: DataFrame, threshold: float, block: int, most_blocks: i
 
         for batch in batches:
             x = _dense(batch.column("v"))
-            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "mine", "id")]
-            for k, (c, i, j, mine, id_) in enumerate(zip(*columns)):
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "mine", "id", "copies")]
+            for k, (c, i, j, mine, id_, copies) in enumerate(zip(*columns)):
                 if (c, i, j) != key:
                     out += linked(key, held) if held else []
                     key, held = (c, i, j), []
                     if len(out) > 50_000:
                         yield emit(out)
                         out = []
-                held.append((mine, id_, x[k]))
+                held.append((mine, id_, x[k], copies))
         out += linked(key, held) if held else []
         yield emit(out)
 
@@ -171,11 +204,14 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     """
     require(df, vec_id, vector, label)
     units = materialize(_units(df, vec_id, vector, label), "units")
-    found = components(candidates(units, threshold, passes, bits, window))
+    single = materialize(representatives(units), "representatives")
+    found = components(candidates(single, threshold, passes, bits, window))
     found = materialize(found, "components")
-    members = units.join(found.withColumnRenamed("node", "id"), "id")
+    members = single.join(found.withColumnRenamed("node", "id"), "id")
     links = count_links(members, threshold, block)
-    both = found.join(links.withColumnRenamed("id", "node"), "node", "left").select(F.col("node").alias("_node"), "component", "n")
+    linked = single.join(found.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
+    own = linked.select("label", "v", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    both = units.join(own, ["label", "v"]).select(F.col("id").alias("_node"), "component", "n")
     rows = df.select(F.col(vec_id).alias("vec_id")).join(both, F.col("vec_id") == F.col("_node"), "left")
     component = F.coalesce("component", "vec_id")
     return rows.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -117,6 +117,21 @@ def test_recall_on_isolated_pairs(spark):
     assert vectors_dedup.near_duplicates(df).agg({"n_links": "sum"}).first()[0] >= 0.98 * truth
 
 
+def test_copies_fill_no_window(spark):
+    """A vector with more copies than the window between others, in a label whose vectors lie close together."""
+    rng = np.random.default_rng(5)
+    x = np.ones((600, 16)) + 0.5 * rng.standard_normal((600, 16))
+    y = x[:200] + 0.06 * rng.standard_normal((200, 16))
+    z = np.concatenate([x, y, np.repeat(x[300:], 8, 0)]).astype(np.float32).astype(float)
+    z = z[rng.permutation(len(z))]
+    df = spark.createDataFrame([(i, z[i].tolist(), 0) for i in range(len(z))], DDL)
+    u = z / np.linalg.norm(z, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors_dedup.near_duplicates(df, passes=3, window=4).collect()}
+    lone = [i for i in range(len(z)) if 0 < links[i] < 8]  # without those that copies link anyway
+    assert all(got[i] <= links[i] for i in got) and sum(got[i] for i in lone) >= 0.97 * links[lone].sum() > 0
+
+
 def test_near_duplicate_edges(spark):
     assert vectors_dedup.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
     lone = spark.createDataFrame([(7, [1.0, 0.0], 1), (8, [1.0, 0.0], 2)], DDL)
