@@ -27,7 +27,8 @@ def _names(docs: DataFrame) -> list:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose words belong to no learned language, go. A null lang is filled in.
 
-    If there is no labelled row to learn from, only documents without a letter go.
+    A labelled document stays if the model has nothing on its language, or no evidence either way on its words (their
+    script wasn't learned). If there is no labelled row to learn from, only documents without a letter go.
     """
     bound_batches(spark)
     model = langid.train(docs.where(F.coalesce(crc_bucket("doc_id", 4), F.lit(0)) != 2))
@@ -35,7 +36,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, model, pred=pred, score=score, spans=None)
-    kept = found.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE))
+    unread = (F.trim(F.col("lang")) != "") & ((F.col(score) == 0) | ~F.col("lang").isin(model.languages))
+    kept = found.where((F.col(pred) != langid.UNKNOWN) & ((F.col(score) >= LEAST_LANGUAGE) | F.coalesce(unread, F.lit(False))))
     return kept.select([F.coalesce(F.col("lang"), F.col(pred)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 

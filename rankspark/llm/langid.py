@@ -208,16 +208,31 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 4000, key: str = "doc_id") -> Model:
-    """Fit on a bounded sample of labelled rows: about most_rows of them, chosen by a hash of the key.
+    """Fit on a bounded sample of labelled rows: about most_rows of them, chosen by a hash of the key in each language.
 
-    Rows whose language is null or blank are left out. With no such row the model knows no language.
+    Each language gives as many rows as any other, or all it has, so a rare one is learned at any size of the table. Rows
+    whose language is null or blank are left out. With no such row the model knows no language.
     """
     rows = df.where(F.col(lang).isNotNull() & (F.trim(F.col(lang)) != ""))
-    total = rows.count()
-    if total > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 20)) < int((1 << 20) * most_rows / total))
-    sample = [(r[0], r[1]) for r in rows.select(text, lang).limit(2 * most_rows).collect()]
-    return fit(sample)
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    each = quota(list(counts.values()), most_rows)
+    ways = 1 << 40
+    limits = [x for k, n in counts.items() if n > each for x in (F.lit(k), F.lit(int(ways * each / n)))]
+    if limits:
+        share = F.coalesce(F.element_at(F.create_map(*limits), F.col(lang)), F.lit(ways))
+        rows = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(ways)) < share)
+    return fit([(r[0], r[1]) for r in rows.select(text, lang).collect()])
+
+
+def quota(counts: list[int], most: int) -> int:
+    """The largest number of rows that each language may give if all together give `most` at most; 1 at least."""
+    left, most_of = most, sorted(counts)
+    for k, n in enumerate(most_of):
+        each = left // (len(most_of) - k)
+        if n > each:
+            return max(each, 1)
+        left -= n
+    return max(most_of, default=1)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", spans: str | None = "lang_spans") -> DataFrame:

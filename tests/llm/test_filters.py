@@ -68,6 +68,20 @@ def test_language_columns(spark):
     assert langid.train(df.withColumnRenamed("lang_pred", "lang").limit(0)).languages == []
 
 
+def test_a_rare_language_is_learned(spark, tmp_path):
+    import corpus_pipeline
+
+    assert langid.quota([5, 100, 100], 45) == 20 and langid.quota([5, 6], 45) == 6 and langid.quota([3, 3], 1) == 1 and langid.quota([], 9) == 1
+    rows = [(i, f"{EN} {i}", "en") for i in range(3000)] + [(3000 + i, RU, "ru") for i in range(3)]
+    df = spark.createDataFrame([*rows, (4001, "日本語", "ja"), (4002, "日本語", None)], "doc_id long, text string, lang string")
+    model = langid.train(df.where("lang <> 'ja'"), most_rows=40)
+    assert model.languages == ["en", "ru"] and langid.label(model, [RU])[0][0] == "ru"
+    held = next(i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 4 == 2)  # its language is in no training fold
+    docs = df.where("doc_id < 4000").union(spark.createDataFrame([(held, "日本語", "ja"), (4002, "日本語", None)], df.schema))
+    stay = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert held in stay and 4002 not in stay and stay >= {3000, 3001, 3002}
+
+
 GRAMMAR = toxicity.Grammar({"idiot": 1e-6, "scum": 1e-6, "clown$": 1e-5, "often": 1e-2}, -6.0, 4.0)
 
 
