@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from rankspark.llm import packing, sharding
 from rankspark.llm.queries import op5_sharding, op6_packing
+from tests.llm.test_suffix_dedup import brute
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -211,6 +212,26 @@ def test_stages(spark, tmp_path):
     assert sorted((r["doc_id"] or -1, r["piece"], r["ids_crc32"]) for r in once) == sorted((r["doc_id"] or -1, r["piece"], r["ids_crc32"]) for r in kept["packing"])
 
 
+def test_the_passage_stage_against_brute_force(spark, tmp_path):
+    """Passages of 50 to 60 short words, 240 to 400 bytes, in two or three documents each; lines repeated in one."""
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join("".join(rng.choice(list("aeioubdfgklmn"), rng.integers(1, 9))) for _ in range(n))
+    docs = {i: text(int(rng.integers(20, 200))) for i in range(120)}
+    passages = [text(51 + k % 10) for k in range(12)] + [text(44), text(47)]
+    for k, p in enumerate(passages):
+        for j in range(2 + k % 2):
+            docs[3 * k + j] = f"{docs[3 * k + j]} {p} {text(30)}"
+    docs[100] = docs[100] + (text(60) + "\n") * 4  # as often as it likes within itself
+    docs[101] = ""
+    rows = [(i, t, "en", "src", len(t), "extra") for i, t in docs.items()] + [(500, None, "en", "src", 0, "extra")]
+    found = corpus_pipeline.remove_repeated_strings(spark, spark.createDataFrame(rows, DDL).repartition(4), str(tmp_path))
+    got = {r["doc_id"]: r for r in found.collect()}
+    want = brute(list(docs.values()), corpus_pipeline.PASSAGE_BYTES, True, corpus_pipeline.PASSAGE_WORDS)
+    for (i, t), (removed, _, kept) in zip(docs.items(), want):
+        assert got[i]["text"] == kept.decode() and got[i]["n_chars"] == len(kept.decode()) and (removed > 0) == (i < 42 and i // 3 < 12 and i % 3 < 2 + i // 3 % 2)
+    assert got[500]["text"] is None and all(p not in r["text"] for r in got.values() if r["text"] for p in passages[:12])
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_an_empty_table(spark, tmp_path, stage):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,22 +13,25 @@ from rankspark.llm import suffix_dedup as S
 from rankspark.llm.queries import op2_repeats
 
 
-def brute(texts: list[str], length: int) -> list[tuple[int, int, bytes]]:
+def brute(texts: list[str], length: int, across: bool = False, least: int = 0) -> list[tuple[int, int, bytes]]:
     """(removed, spans, kept) of each text."""
     raw = [t.encode() for t in texts]
-    seen: dict[bytes, int] = {}
-    for b in raw:
+    seen: dict[bytes, list[int]] = {}
+    for k, b in enumerate(raw):
         for i in range(len(b) - length + 1):
-            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+            seen.setdefault(b[i : i + length], []).append(k)
+    again = {s for s, where in seen.items() if len(set(where) if across else where) > 1}
     out = []
     for b in raw:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
+            if b[i : i + length] in again:
                 gone[i : i + length] = b"\1" * length
+        for m in re.finditer(b"\1+", bytes(gone)):
+            if len(b[m.start() : m.end()].split()) < least:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
         kept = bytes(c for c, g in zip(b, gone) if not g)
-        spans = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(b)))
-        out.append((sum(gone), spans, kept))
+        out.append((sum(gone), len(re.findall(b"\1+", bytes(gone))), kept))
     return out
 
 
@@ -47,24 +52,57 @@ def corpus(seed: int = 1) -> list[str]:
     return texts + near + [base, base, "", "x" * 900, "ab" * 450, line * 30, words(rng, 3) + line * 9 + words(rng, 40), "é" * 300, shared[0] + shared[0]]
 
 
-def check(spark, tmp_path, texts, length, many):
+def check(spark, texts, length, many, across=False, least=0):
     rows = [(k, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    before = S.repeats.__defaults__
-    S.repeats.__defaults__ = (length, length * 2 // 5, many)
-    try:
-        got = {r["doc_id"]: r for r in S.remove_repeats(df, length=length).collect()}
-    finally:
-        S.repeats.__defaults__ = before
-    for k, (removed, spans, kept) in enumerate(brute([t or "" for t in texts], length)):
+    got = {r["doc_id"]: r for r in S.remove_repeats(df, length=length, many=many, across=across, words=least).collect()}
+    for k, (removed, spans, kept) in enumerate(brute([t or "" for t in texts], length, across, least)):
         r = got[k]
         assert (r["n_removed"], r["n_spans"], bytes(r["kept"])) == (removed, spans, kept), k
 
 
+@pytest.mark.parametrize("across", [False, True])
 @pytest.mark.parametrize("many", [1024, 1, 8])
 @pytest.mark.parametrize("length", [100, 40])
-def test_brute_force(spark, tmp_path, length, many):
-    check(spark, tmp_path, [*corpus(), None], length, many)
+def test_brute_force(spark, length, many, across):
+    check(spark, [*corpus(), None], length, many, across)
+
+
+def test_short_runs_stay(spark):
+    check(spark, corpus(5), 40, 1024, True, 14)
+    check(spark, corpus(5), 40, 4, False, 14)
+
+
+def test_an_anchor_very_many_times_in_one_text(spark):
+    rng = random.Random(8)
+    line = words(rng, 30)
+    texts = ["".join(line + words(rng, 12) for _ in range(1200)), words(rng, 40) + line + words(rng, 50), line * 3, words(rng, 90)]
+    check(spark, texts, 60, 1024)
+    check(spark, texts, 60, 1024, True)
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_strings_that_share_a_hash_are_told_apart_by_their_bytes(spark, across):
+    rng = random.Random(4)
+    shared = words(rng, 30)
+    texts = [words(rng, 12) + shared[:90] + words(rng, 12) for _ in range(12)] + [shared + shared]
+    length = 60
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "rid long, text string").repartition(4).cache()
+    records = []  # every string of every text, with hashes that collide across different strings
+    for k, t in enumerate(texts):
+        x = np.zeros(len(t.encode()) - length + 1, S._PACKED)
+        raw = t.encode()
+        x["h"] = [raw[i : i + length].count(b"a") for i in range(len(x))]
+        x["rid"], x["at"] = k, np.arange(len(x))
+        records.append(x)
+    runs = spark.createDataFrame(S._paired(np.concatenate(records), across), S._SPAN)
+    found = {(r["rid"], r["first"] + k) for r in S._compared(docs, runs, length, across).collect() for k in range(r["n"])}
+    where: dict[bytes, set] = {}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        for i in range(len(raw) - length + 1):
+            where.setdefault(raw[i : i + length], set()).add((k, i))
+    assert found == {p for places in where.values() if len({k for k, _ in places} if across else places) > 1 for p in places}
 
 
 @settings(max_examples=60, deadline=None)
