@@ -18,6 +18,10 @@ from rankspark.llm.common import bound_batches, crc_bucket, free_name, materiali
 #: A text whose words tell less than this for its language is rejected: it is junk, not a text in a learned language.
 LEAST_LANGUAGE = 0.1
 TOXIC_FROM = 0.7
+#: A passage is a string of so many words that two documents hold. In prose of the corpus' languages 50 words are 247 bytes
+#: at least, so strings of PASSAGE_BYTES find every such passage; runs of fewer words stay.
+PASSAGE_WORDS = 50
+PASSAGE_BYTES = 240
 
 
 def _names(docs: DataFrame) -> list:
@@ -61,11 +65,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every string of 400 bytes that is in the corpus twice is cut out of the texts, and n_chars follows. Documents
-    stay, also those that nothing is left of; null texts stay null."""
+    """Passages that two documents hold are cut out of the texts, at all places, and n_chars follows. What a document
+    repeats within itself alone stays. Documents stay, also those that nothing is left of; null texts stay null."""
     bound_batches(spark)
     kept, removed, spans = (free_name(docs, x) for x in ("_kept", "_removed", "_spans"))
-    found = suffix_dedup.remove_repeats(docs, rest="text", kept=kept, removed=removed, spans=spans)
+    found = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, rest="text", kept=kept, removed=removed, spans=spans, across=True, words=PASSAGE_WORDS)
     text = F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))
     length = F.when(F.col(removed) > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
     return found.select([text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
