@@ -1,6 +1,9 @@
 """Language identification, toxicity and main text."""
 
+import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -190,6 +193,81 @@ def test_no_page_breaks_it(parts):
     html_text.main_text("".join(parts))
 
 
+PARAGRAPHS = "<p>One long paragraph here, with commas, and enough text to count, as it goes on.</p>" * 3
+
+
+@pytest.mark.parametrize("opening", ['<div class="layout with-sidebar">', '<article class="post comments-open">', '<div class="post no-footer">', '<section class="story share-enabled">', '<div id="main-content" class="menu-open">', '<form id="whole-page">', '<div class="sidebar-content-wrap">', "<article><header><h2>A title</h2><p>by somebody</p></header>"])
+def test_containers_with_doubtful_names_keep_their_text(opening):
+    tag = opening[1:].split(" ")[0].split(">")[0]
+    around = "<div class='left-sidebar'><p>Side text, that is long enough, to count as well.</p></div><section id=comments><p>A reader, with commas, and so on.</p></section>"
+    html = f"<body><nav><a href=x>menu</a></nav>{opening}{PARAGRAPHS}</{tag}>{around}<footer>f</footer></body>"
+    want = ["A title"] * ("h2" in opening) + ["One long paragraph here, with commas, and enough text to count, as it goes on."] * 3
+    assert html_text.main_text(html).split("\n") == want
+
+
+@pytest.mark.parametrize("name,bad", [("with-sidebar", 0), ("sidebar", 2), ("sidebarLeft", 2), ("comment-list", 2), ("post-comments", 1), ("no-ads", 0), ("story", 0), ("ad-slot-7", 1), ("nav-open", 0), ("masthead__inner", 2)])
+def test_names(name, bad):
+    assert html_text._roles(f' class="{name}"')[1] == bad
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "</i>" * 60_000, '<a "x ' * 120_000, "<a x " * 150_000, '<a x="y ' * 90_001 + ">", "<b>" * 50_000 + "<div></div>" * 50_000, "<article>" + "<i>" * 70_000 + "</b>" * 70_000, "<!" * 300_000, "<table><td>" * 40_000, "<p>" * 150_000])
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 6  # minutes if it grew with the square
+
+
+def plain_points(root):
+    """Tree scores by their definition: each node asks all paragraphs of the page."""
+    nodes = html_text._nodes(root)
+    text = lambda x: sum(len(c) if isinstance(c, str) else text(c) for c in x.children)
+    links = lambda x: sum(0 if isinstance(c, str) else text(c) if c.tag == "a" else links(c) for c in x.children)
+    density = lambda x: min(links(x) / max(text(x), 1), 1)
+    out = {}
+    for x in nodes:
+        points = html_text.TAG_POINTS.get(x.tag, 0.0) + 10.0 * (x.good and x.tag in html_text.TAG_POINTS) if text(x) else 0.0
+        for p in nodes:
+            own = html_text._own(p)
+            if p.tag in html_text.PARAGRAPHS and len(own) >= html_text.LEAST_PARAGRAPH:
+                worth = (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - density(p))
+                up = p if p.tag in ("div", "section", "article", "main", "body") else p.parent
+                points += worth if up is x else worth / 2 if up is not None and up.parent is x else 0.0
+        out[id(x)] = (points, points * (1 - density(x)))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=story>", "</div>", "<section>", "</section>", "<li>", "<td>", "<table>", "<article>", "</article>", "<a href=x>", "</a>", "A few words, with commas, to count. ", "short "]), max_size=30))
+def test_tree_scores_against_their_definition(parts):
+    root = html_text.parse("".join(parts))
+    html_text._prune(root)
+    for x in html_text._nodes(root):
+        x.points = 0.0
+    want = plain_points(root)
+    nodes = html_text._nodes(root)
+    html_text._score(nodes)
+    for x in nodes:
+        assert (x.points, html_text._value(x)) == pytest.approx(want[id(x)])
+
+
+def test_pages_whose_article_element_is_known(spark):
+    """Every page of the smallest tables: what its article element holds, and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in html_text.extract(pages, out="main").collect():
+        inside = re.search(r"<article>(.*)</article>", r["html"], re.S)
+        if inside:
+            assert " ".join(r["main"].split()) == " ".join(unescape(re.sub(r"<[^>]+>", " ", inside[1])).split())
+
+
+def test_html_edges(spark):
+    rows = [(1, PAGE, "x"), (1, PAGE, "x"), (2, f"<div>{PARAGRAPHS}</div><div>{PARAGRAPHS}</div>", "y"), (3, "<p>" + "word, " * 200_000, "z")]
+    df = spark.createDataFrame(rows, "page_id long, html string, `TEXT` string")
+    got = html_text.extract(df).collect()
+    assert len(got) == 4 and got[0]["text"] == got[1]["text"] and got[3]["text"] == ("word, " * 200_000).strip()
+    assert got[2]["text"].count("One long") == 6  # equal containers side by side
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_html_query(spark, tmp_path):
     rows = [(1, "u", PAGE), (2, "v", None), (3, None, "<p>x")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
