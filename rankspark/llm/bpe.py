@@ -70,6 +70,7 @@ class ByteBpe:
         for (a, b), r in self.rank.items():
             self.parts.setdefault(a + b, (a, b, r))
         self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
+        self.reach = max(map(len, self.id_of), default=1)
         self.trie = ahocorasick.Automaton()
         for b, i in self.id_of.items():
             self.trie.add_word(b.decode("latin-1"), i)
@@ -130,7 +131,7 @@ class ByteBpe:
 
     def longest(self, s: str, at: int) -> int:
         """Id of the longest token that starts at a position of a Latin-1 view of bytes."""
-        _, token = next(self.trie.iter_long(s[at : at + 160] if len(s) > 160 else s[at:]))
+        _, token = next(self.trie.iter_long(s[at : at + self.reach] if len(s) > self.reach else s[at:]))
         return token
 
     def encode_piece(self, b: bytes) -> list[int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -18,23 +19,57 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
 
-    Only where it is unset (a local session, as in tests) a temporary folder is made and set.
+    Where it is unset, a local session (all in one process, as in tests) gets a temporary folder; on a cluster that is an
+    error, as no folder of one machine will do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_rankspark_shared", None) or tempfile.mkdtemp(prefix="rankspark-")
         spark._rankspark_shared = base
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+#: Folders below the shared one: this process' tables, and those of the steps that are running.
+_folders: list[str] = [f"tables-{uuid.uuid4().hex[:12]}"]
+_cleaning: set[str] = set()
+
+
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    The table lasts until the step it belongs to ends (see step), or the process; with `outer`, longer than the step.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/{_folders[0]}"
+    if top not in _cleaning:
+        _cleaning.add(top)
+        atexit.register(remove, spark, top)
+    path = f"{shared_dir(spark)}/{'/'.join(_folders[: len(_folders) - outer])}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored; a session that has ended can't."""
+    with contextlib.suppress(Exception):
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
+@contextlib.contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go when the step ends: what it leaves must have been written with `outer`."""
+    _folders.append(f"step-{uuid.uuid4().hex[:12]}")
+    path = f"{shared_dir(spark)}/{'/'.join(_folders)}"
+    try:
+        yield
+    finally:
+        _folders.pop()
+        remove(spark, path)
+
+
 #: Rows of an Arrow batch: with long texts, Spark's default of 10,000 is many tens of MB for each of a task's buffers.
 BATCH_ROWS = 2000
 
@@ -92,12 +127,6 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def commonest_width(df: DataFrame, vector: str) -> int:
-    """The length that most vectors have; the shorter one of equals, 0 without vectors."""
-    row = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return row["w"] if row else 0
-
-
 _held: dict[tuple, object] = {}
 
 
@@ -122,6 +151,20 @@ def make_room(operator: str = "") -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(operator: str, run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """A function of Arrow batches that makes room in its worker when it begins and when it ends, as an idle worker holds
+    what it has. forget: lets go of what would otherwise be kept for the next task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(operator)
+        yield from run(batches)
+        if forget:
+            forget()
+        make_room(operator if forget is None else "")
+
+    return tidied
+
+
 def trim(cache: dict, most: int) -> None:
     """If there are more than `most` entries, the newest half goes: words that are used often were met first."""
     if len(cache) > most:

@@ -77,3 +77,26 @@ def test_query(spark, tmp_path):
         ids = LIBRARY.encode(rows[r["doc_id"]][1] or "", add_special_tokens=False).ids
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest(",".join(map(str, ids))), digest(LIBRARY.decode(ids, skip_special_tokens=False)))
+
+
+def test_a_vocabulary_with_a_token_of_300_bytes(tmp_path):
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    letters = [*bpe.byte_alphabet()]
+    merges = [("a" * n, "a" * n) for n in (1, 2, 4, 8, 16, 32, 64, 128)] + [("a" * 256, "a" * 32), ("a" * 288, "a" * 8), ("a" * 296, "a" * 4), ("b", "a" * 4)]
+    tokens = letters + [x + y for x, y in merges]
+    spec["model"] |= {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(m) if isinstance(spec["model"]["merges"][0], list) else " ".join(m) for m in merges]}
+    spec["added_tokens"] = []
+    (tmp_path / "own.json").write_text(json.dumps(spec), encoding="utf-8")
+    own, library = bpe.ByteBpe(str(tmp_path / "own.json")), Tokenizer.from_file(str(tmp_path / "own.json"))
+    assert own.reach == 300
+    for text in ["a" * n for n in (1, 299, 300, 301, 600, 1000, 4999)] + ["b" + "a" * 700, "a" * 300 + "b" + "a" * 305]:
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.encode("a" * 300).tolist() == [tokens.index("a" * 300)]
+
+
+def test_very_long_texts():
+    for text in ("word and word, " * 80_000, "ab" * 150_000, "é" * 100_000):
+        ids = OWN.encode(text)
+        assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids and TABLE.decode(ids) == text
