@@ -1,9 +1,11 @@
 """Near duplicates among embeddings by sorted projection passes.
 
 Equal vectors of a label are one representative with a weight. Each pass gives a representative the concatenated bits of
-random hyperplanes through its label's centre and sorts those of a label by them; a vector is compared with a bounded window of followers, pairs are verified by their cosine, and verified pairs of all passes
-are united. A window bounds what a pass sees of a group, not what is found: two linked vectors are in one component, so
-the links inside each component are counted afterwards exactly, in blocks.
+random hyperplanes through its label's centre and sorts those of a label by them; a vector is compared with a bounded
+window of followers, pairs are verified by their cosine, and verified pairs of all passes are united. The order is cut
+into partitions, and the rows at each cut are compared again with those beyond it, so that a window is as wide there. A
+window bounds what a pass sees of a group, not what is found: two linked vectors are in one component, so the links
+inside each component are counted afterwards exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -12,18 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import commonest_width, materialize, require
+from rankspark.llm.common import materialize, require
 from rankspark.llm.components import components, local_forest
 
 SIMILAR = 0.98
 PASSES = 16
 BITS = 48
 WINDOW = 24
-#: Vectors of a component that one task compares with so many others at a time.
-BLOCK = 128
+#: Vectors of a component that one task compares with so many others at a time: in small components few, so that many
+#: tasks share the work; in large ones more, so that a row is sent to fewer of them, and never more than memory holds.
+BLOCK, LARGE_BLOCK, FEW_BLOCKS = 128, 4096, 64
 
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +54,8 @@ def _keys(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return np.stack([((x @ p) > 0).astype(np.int64) @ powers for p in planes], 1)
 
 
-def _units(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
-    """(id, label, unit vector) of the vectors that can link."""
-    base = df.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and label is not null and v is not null")
-    width = commonest_width(base, "v")
+def _units(base: DataFrame, width: int) -> DataFrame:
+    """(id, label, unit vector) of the vectors of a width that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +66,7 @@ def _units(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
                 offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * x.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("label").take(take), pa.ListArray.from_arrays(offsets, flat)], names=["id", "label", "v"])
 
-    return base.mapInArrow(run, "id long, label string, v array<double>")
+    return base.where(F.size("v") == width).mapInArrow(run, "id long, label string, v array<double>")
 
 
 def representatives(units: DataFrame) -> DataFrame:
@@ -113,26 +115,72 @@ def candidates(units: DataFrame, threshold: float, passes: int, bits: int, windo
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), batch.column("label"), pa.array(keys[:, p]), batch.column("id"), batch.column("v")], names=["pass", "label", "key", "id", "v"])
 
+    names = ["a", "b", "cut", "side", "place", "group", "id", "v"]
+
+    def pairs_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        stars = [p for p in local_forest(pairs) if p[0] != p[1]]
+        a, b = (pa.array([p[k] for p in stars], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([a, b, *(pa.nulls(len(stars), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.float64())))], names=names)
+
+    def edge(cut: int, side: int, x: np.ndarray, ids: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        n = len(ids)
+        whole = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, cut, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(group.tolist(), pa.string()), pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(whole, names=names)
+
+    def near(x: np.ndarray, ids: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+        pairs: list[tuple[int, int]] = []
+        for step in range(1, min(window, len(x) - 1) + 1):
+            found = np.flatnonzero((np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold) & (group[:-step] == group[step:]))
+            pairs += zip(ids[found].tolist(), ids[found + step].tolist())
+        return pairs
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
         tail: tuple | None = None
+        head: list[tuple] = []
         pairs: list[tuple[int, int]] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, ids = _dense(batch.column("v")), batch.column("id").to_numpy()
             group = np.array([f"{p}\0{lab}" for p, lab in zip(batch.column("pass").to_pylist(), batch.column("label").to_pylist())], object)
-            if tail is not None and len(x) and tail[0].shape[1] == x.shape[1]:
+            if sum(len(h[1]) for h in head) < window:
+                head.append((x[:window], ids[:window], group[:window]))
+            if tail is not None:
                 x, ids, group = np.concatenate([tail[0], x]), np.concatenate([tail[1], ids]), np.concatenate([tail[2], group])
-            for step in range(1, min(window, len(x) - 1) + 1):
-                near = np.flatnonzero((np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold) & (group[:-step] == group[step:]))
-                pairs += zip(ids[near].tolist(), ids[near + step].tolist())
+            pairs += near(x, ids, group)
             tail = (x[-window:], ids[-window:], group[-window:])
             if len(pairs) > 200_000:
                 pairs = local_forest(pairs)
-        stars = [p for p in local_forest(pairs) if p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in stars], pa.int64()), pa.array([p[1] for p in stars], pa.int64())], names=["a", "b"])
+        if tail is not None:
+            first = [np.concatenate(part)[:window] for part in zip(*head)]
+            yield edge(here, 1, *first)  # the cut before this partition, and the one after it
+            yield edge(here + 1, 0, *tail)
+        yield pairs_of(pairs)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, held = None, []
+        for batch in batches:
+            x = _dense(batch.column("v"))
+            for k, (c, g, i) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("cut", "group", "id")))):
+                if c != cut and held:
+                    yield pairs_of(near(*_stacked(held)))
+                    held = []
+                cut = c
+                held.append((x[k], i, g))
+        if held:
+            yield pairs_of(near(*_stacked(held)))
 
     keyed = units.select("id", "label", "v").join(materialize(centres(units), "centres"), "label").mapInArrow(explode, "pass int, label string, key long, id long, v array<double>")
     dealt = keyed.repartitionByRange("pass", "label", "key", "id").sortWithinPartitions("pass", "label", "key", "id")
-    return dealt.mapInArrow(compare, "a long, b long")
+    ddl = "a long, b long, cut int, side int, place int, group string, id long, v array<double>"
+    found = materialize(dealt.mapInArrow(compare, ddl), "windows")
+    edges = found.where("cut is not null").repartition("cut").sortWithinPartitions("cut", "side", "place")
+    return found.where("cut is null").select("a", "b").unionByName(edges.mapInArrow(across, ddl).select("a", "b"))
+
+
+def _stacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.stack([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], object)
 
 
 def _dense(column: pa.Array) -> np.ndarray:
@@ -142,13 +190,14 @@ def _dense(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def count_links(members: DataFrame, threshold: float, block: int, most_blocks: int = 64) -> DataFrame:
+def count_links(members: DataFrame, threshold: float, block: int, large: int = LARGE_BLOCK) -> DataFrame:
     """(id, n): how many others of its component each vector links with, exactly. Linked vectors share their label.
 
-    A component's members are dealt into blocks of about `block`, into most_blocks at most, so a row is sent so many
-    times at most; each pair of blocks is one piece of work, and only counts leave a task. A member counts `copies` times.
+    A component's members are dealt into blocks of about `block`, or, where that makes more than FEW_BLOCKS, into
+    FEW_BLOCKS larger ones, of about `large` at most; each pair of blocks is one piece of work that fits a task's memory
+    at any size of the component, and only counts leave a task. A member counts `copies` times.
     """
-    ways = F.least(F.lit(most_blocks), F.ceil(F.col("n") / block)).cast("int")
+    ways = F.greatest(F.least(F.lit(FEW_BLOCKS), F.ceil(F.col("n") / block)), F.ceil(F.col("n") / large)).cast("int")
     sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", ways).drop("n")
     dealt = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(4)), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
@@ -199,11 +248,29 @@ def count_links(members: DataFrame, threshold: float, block: int, most_blocks: i
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = SIMILAR, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per vector of df: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, zero, of another width than most, or hold null or non-finite components, and rows without a label, link with nothing:
-    0 links, their own component, kept. vec_id is taken as a key; an empty table gives no rows.
+    Vectors that are null, zero, empty, or hold null or non-finite components, and rows without a label, link with
+    nothing: 0 links, their own component, kept. Vectors of one width are compared with each other; each width takes its
+    own passes. vec_id is taken as a key: rows that repeat an id get the most links and the smallest component of them; a
+    row without an id has 0 links, no component, and is kept. An empty table gives no rows.
     """
     require(df, vec_id, vector, label)
-    units = materialize(_units(df, vec_id, vector, label), "units")
+    base = df.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and label is not null and v is not null and size(v) > 0")
+    widths = [r[0] for r in base.select(F.size("v")).distinct().collect()]
+    found = [_of_width(materialize(_units(base, w), "units"), threshold, passes, bits, window, block) for w in sorted(widths)]
+    rows = df.select(F.col(vec_id).alias("vec_id"))
+    if not found:
+        found = [base.select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n"))]
+    both = found[0]
+    for more in found[1:]:
+        both = both.unionByName(more)
+    both = both.groupBy(F.col("id").alias("_node")).agg(F.min("component").alias("component"), F.max("n").alias("n"))
+    rows = rows.join(both, F.col("vec_id") == F.col("_node"), "left")
+    component = F.coalesce("component", "vec_id")
+    return rows.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _of_width(units: DataFrame, threshold: float, passes: int, bits: int, window: int, block: int) -> DataFrame:
+    """(id, component, n) of unit vectors of one width."""
     single = materialize(representatives(units), "representatives")
     found = components(candidates(single, threshold, passes, bits, window))
     found = materialize(found, "components")
@@ -211,7 +278,4 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     links = count_links(members, threshold, block)
     linked = single.join(found.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
     own = linked.select("label", "v", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    both = units.join(own, ["label", "v"]).select(F.col("id").alias("_node"), "component", "n")
-    rows = df.select(F.col(vec_id).alias("vec_id")).join(both, F.col("vec_id") == F.col("_node"), "left")
-    component = F.coalesce("component", "vec_id")
-    return rows.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return units.join(own, ["label", "v"]).select("id", "component", "n")

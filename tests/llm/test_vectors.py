@@ -57,6 +57,50 @@ def test_sliced_block(n, width, k, seed):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("large", [1e6, 1e9, 3e12])
+def test_large_components_take_part(spark, large):
+    """Scores beyond any fixed bound, against Python's integers."""
+    x = np.random.default_rng(7).standard_normal((80, 4))
+    x[: 80 if large == 1e6 else 1 : 7] *= large  # the products of two of the largest would be no longs
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    q = [[math.floor(256 * c) for c in v] for _, v, _ in rows]
+    assert max(abs(c) for v in q for c in v) > 1 << 24
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = []
+    for i in range(0, len(q), 10):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(len(q)) if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert max(abs(w[3]) for w in want) > 1 << 40
+    assert sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), rows=17).collect()) == sorted(want)
+
+
+def test_scores_and_components_that_are_no_longs_are_errors(spark):
+    for v in ([1e12], [1e300]):
+        df = spark.createDataFrame([(0, v, 1), (1, v, 1)], "vec_id long, embedding array<double>, label int")
+        with pytest.raises(Exception, match="is no long|too large"):
+            topk.top_k(df, df).collect()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 90), st.integers(0, 10**6), st.integers(20, 59))
+def test_sliced_blocks_of_wide_values(n, seed, bits):
+    rng = np.random.default_rng(seed)
+    x, q = rng.integers(-(1 << bits), 1 << bits, (n, 3)), rng.integers(-8, 9, (2, 3)) >> (bits // 20)
+    got = topk.SlicedBlock(np.arange(n), x).top(np.array([-1, -2]), q, 4)
+    for j in (0, 1):
+        exact = sorted((-sum(int(a) * int(b) for a, b in zip(q[j], x[r])), r) for r in range(n))[:4]
+        assert sorted((-s, r) for i, r, s in got if i == -1 - j) == exact
+
+
+def test_widths_and_repeated_queries(spark):
+    rows = [(i, [float(i % 5), 1.0, -float(i)], 1) for i in range(20)] + [(100 + i, [float(i), -2.0], 1) for i in range(6)]
+    df = spark.createDataFrame(rows, DDL)
+    asked = df.where("vec_id in (0, 100)")
+    want = brute_top(rows[:20], 5, 20) + brute_top([(i - 100, v, lab) for i, v, lab in rows[20:]], 5, 6)
+    want = [w if k < 5 else (100 + w[0], w[1], 100 + w[2], w[3]) for k, w in enumerate(want)]
+    assert sorted(tuple(r) for r in topk.top_k(df, asked.union(asked)).collect()) == sorted(want)
+
+
 def test_top_k_edges(spark):
     one = spark.createDataFrame([(0, [1.0, -1.0], 1)], DDL)
     assert topk.top_k(one, one).count() == 0
@@ -132,6 +176,47 @@ def test_copies_fill_no_window(spark):
     assert all(got[i] <= links[i] for i in got) and sum(got[i] for i in lone) >= 0.97 * links[lone].sum() > 0
 
 
+def test_recall_at_many_partitions(spark):
+    """Cuts between partitions hide nothing: one pass that brings every pair together finds every pair, at 211 of them."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, 32))
+    z = np.concatenate([x, x + 1e-9 * rng.standard_normal(x.shape)])
+    df = spark.createDataFrame([(i, z[i].tolist(), 0) for i in range(len(z))], "vec_id long, embedding array<double>, label int")
+    key = "spark.sql.shuffle.partitions"
+    before, adaptive = spark.conf.get(key), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set(key, "211")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = vectors_dedup.near_duplicates(df, passes=1, window=1).collect()
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}
+    same = [i for i in range(500) if (vectors_dedup._keys((z[[i, i + 500]] - z.mean(0)), vectors_dedup.hyperplanes(32, 1, 48))[0] == vectors_dedup._keys((z[[i, i + 500]] - z.mean(0)), vectors_dedup.hyperplanes(32, 1, 48))[1]).all()]
+    assert len(same) > 490 and all(found[i] == found[i + 500] == (1, i) for i in same)
+
+
+def test_blocks_of_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(vectors_dedup, "FEW_BLOCKS", 3)
+    rng = np.random.default_rng(2)
+    x = np.ones(8) + 0.02 * rng.standard_normal((260, 8))
+    rows = [(i, x[i].tolist(), 1) for i in range(260)]
+    members = spark.createDataFrame([(1, i, v, 1) for i, v, _ in rows], "component long, id long, v array<double>, copies long")
+    unit = members.collect()
+    unit = spark.createDataFrame([(1, r["id"], vectors_dedup.unit(np.array([r["v"]]))[0].tolist(), 1) for r in unit], members.schema)
+    want = {i: n for i, (n, _, _) in brute_links(rows, 0.98).items()}
+    for large in (20, 50, 4096):
+        got = {r["id"]: r["n"] for r in vectors_dedup.count_links(unit, 0.98, 16, large).collect()}
+        assert all(abs(got.get(i, 0) - n) <= 1 for i, n in want.items())  # 32-bit rows in brute_links
+
+
+def test_ids_and_widths(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, a, 1), (2, a, 1), (3, b, 1), (4, b, 1), (4, b, 1), (None, a, 1), (5, [0.0], 1)], DDL)
+    got = sorted(vectors_dedup.near_duplicates(df).collect(), key=lambda r: r["vec_id"] or 0)
+    assert [tuple(r) for r in got] == [(None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False), (5, 0, 5, True)]
+
+
 def test_near_duplicate_edges(spark):
     assert vectors_dedup.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
     lone = spark.createDataFrame([(7, [1.0, 0.0], 1), (8, [1.0, 0.0], 2)], DDL)
