@@ -271,14 +271,14 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, tokens) of some documents, hashes cut to six bytes each: enough to compare two sets."""
+    """(id, tokens) of some documents: their shingles' 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room(__name__)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                blobs = [shingles(t).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for t in batch.column("text").to_pylist()]
+                blobs = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(blobs, pa.binary())], names=["id", "tokens"])
 
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
@@ -289,14 +289,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose exact sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = lambda blob: np.pad(np.frombuffer(blob, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel()
         for batch in batches:
             out, last, x = [], None, None
             for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb"))):
                 if a != last:
-                    last, x = a, wide(s)
-                y = wide(t)
-                same = len(np.intersect1d(x, y, assume_unique=False))
+                    last, x = a, np.frombuffer(s, np.uint64)
+                y = np.frombuffer(t, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
                 if same >= needed_overlap(len(x), len(y)):
                     out.append((a, b))
             yield _pair_batch(out)
@@ -313,10 +312,10 @@ def _buckets(reps: DataFrame, total: int) -> DataFrame:
     common = counts.where(F.col("size") > max(1024, total // 25_000)).select("token", F.lit(1).alias("hot"))  # a million rows at most
     prefix = F.col("n") - F.ceil(F.col("n") * LEAST / OVER) + 1
     ranked = reps.select("id", "n", F.least(F.lit(DRAWS).cast("long"), prefix).alias("draws"), "tokens")
-    hot_list = [r["token"] for r in common.select("token").collect()]
-    if hot_list:
+    hot_tokens = np.sort(common.select("token").toArrow()["token"].to_numpy().astype(np.int64))  # 8 bytes each
+    if len(hot_tokens):
         spark = reps.sparkSession
-        handle = spark.sparkContext.broadcast(np.sort(np.array(hot_list, np.int64)))
+        handle = spark.sparkContext.broadcast(hot_tokens)
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot = handle.value
@@ -337,6 +336,29 @@ def _buckets(reps: DataFrame, total: int) -> DataFrame:
     return materialize(drawn.join(reps.select("id", "bits"), "id"), "buckets")
 
 
+def _meetings(members: DataFrame) -> DataFrame:
+    """(token, i, j, mine, id, n, bits, component): members of buckets with several components, sent to each pair of
+    blocks (i, j) of their bucket in which they may meet another component.
+
+    A component with more than GROUP members in a bucket has blocks of its own, which never meet each other, so a bucket
+    of M members of one component and a few of others costs M / GROUP meetings of these few, not M * M / GROUP.
+    """
+    parts = members.groupBy("token", "component").agg(F.count("*").alias("c"))
+    own = F.when(F.col("c") > GROUP, F.col("component"))
+    blocks = parts.groupBy("token", own.alias("owner")).agg(F.sum("c").alias("members"), F.count("*").alias("components"))
+    mixed = blocks.groupBy("token").agg(F.sum("components").alias("all")).where("all > 1").select("token")
+    blocks = materialize(blocks.join(mixed, "token").select("token", "owner", F.ceil(F.col("members") / GROUP).alias("ways")), "blocks")
+    big = blocks.where("owner is not null").select("token", F.col("owner").alias("component"), F.col("ways").alias("big"))
+    small = blocks.where("owner is null").select("token", F.col("ways").alias("small"))
+    placed = members.join(blocks.select("token").distinct(), "token", "left_semi").join(big, ["token", "component"], "left").join(small, "token", "left")
+    owner = F.when(F.col("big").isNotNull(), F.col("component"))
+    ways = F.coalesce("big", "small")
+    placed = placed.withColumn("owner", owner).withColumn("mine", F.xxhash64("owner", F.pmod(F.xxhash64("id", F.lit(9)), ways)))
+    each = blocks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1))).select("token", F.col("owner").alias("_owner"), F.xxhash64("owner", "k").alias("other"))
+    work = placed.join(each, "token").where(F.col("owner").isNull() | F.col("_owner").isNull() | (F.col("owner") != F.col("_owner")))
+    return work.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "n", "bits", "component")
+
+
 def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id as `id`, n_shingles, and component_id, the smallest id that links reach.
 
@@ -361,12 +383,7 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # what the forests left apart: candidates between components, in buckets that hold more than one
     with_comp = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     with_comp = materialize(with_comp, "buckets-2")
-    mixed = with_comp.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    blocks = mixed.select("token", F.ceil(F.col("members") / GROUP).cast("int").alias("blocks"))
-    again = with_comp.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(9)), "blocks").cast("int"))
-    ways = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    again = again.withColumn("w", F.explode(ways)).select("token", "w.i", "w.j", "mine", "id", "n", "bits", "component")
-    left = again.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_between, "a long, b long").distinct()
+    left = _meetings(with_comp).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_between, "a long, b long").distinct()
     left = materialize(left.join(tested, ["a", "b"], "left_anti"), "between")
     if left.isEmpty():
         final = found

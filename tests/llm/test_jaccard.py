@@ -100,6 +100,19 @@ def test_needed_overlap(n, m):
     assert 100 * o >= 75 * (n + m - o) and (o == 0 or 100 * (o - 1) < 75 * (n + m - o + 1))
 
 
+def test_a_hot_bucket_of_two_components_costs_no_square(spark):
+    """4,000 members of one component and 3 of another in a bucket: the few meet the many, the many don't meet each other."""
+    rows = [(7, i, 10, b"", 1) for i in range(4000)] + [(7, 5000 + i, 10, b"", 2 + i) for i in range(3)] + [(8, i, 10, b"", 1) for i in range(50)]
+    members = spark.createDataFrame(rows, "token long, id long, n long, bits binary, component long")
+    got = jaccard._meetings(members).collect()
+    assert len(got) == 4000 + 3 * 4 + 3 and {r["token"] for r in got} == {7}
+    work = {}
+    for r in got:
+        work.setdefault((r["i"], r["j"]), []).append(r["id"])
+    together = {(a, b) for ids in work.values() for a in ids for b in ids if a < 5000 <= b}
+    assert len(together) == 4000 * 3 and any({5000, 5001, 5002} <= set(ids) for ids in work.values())
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(5, "a b c", "z"), (5, "a b c", "z"), (2, "A  B\nC", None), (None, "a b c", None)], "doc_id long, text string, n_shingles string")
     rows = sorted((r["id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard.join_classes(df).collect())
