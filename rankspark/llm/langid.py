@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import make_room, require, trim, with_fields
+from rankspark.llm.common import require, tidy, trim, with_fields
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,6 +38,11 @@ RULED_OUT = -60.0
 SWITCH = 8.0
 CACHED = 200_000
 CELLS = 400_000
+#: Words with more letters are scored in blocks of n-grams, and aren't kept for later texts.
+LONG = 200
+BLOCK = 50_000
+#: N-grams and words that a model knows: the commonest, of all languages together. The table is broadcast.
+MOST_GRAMS = 60_000
 
 
 def script_of(char: str) -> str:
@@ -45,8 +50,8 @@ def script_of(char: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """A word's character bigrams and trigrams with its ends marked."""
-    w = f"<{word[:40]}>"
+    """All of a word's character bigrams and trigrams, with its ends marked."""
+    w = f"<{word}>"
     return [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
 
 
@@ -60,6 +65,11 @@ class Model:
     scripts: dict[str, np.ndarray]
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     known: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32), repr=False)
+    passing: int = 0  # entries of the cache, the newest, that are for one batch only
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.known, self.passing = np.zeros((0, len(self.languages)), np.float32), 0
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probabilities of lower-case words for each language: a sum over n-grams by the root of their number."""
@@ -67,13 +77,20 @@ class Model:
         flat: list[int] = []
         starts, wholes, allowed = [], [], []
         nothing = np.zeros(len(self.languages), bool)
-        for w in words:
+        long: list[tuple[int, str]] = []
+        for k, w in enumerate(words):
             starts.append(len(flat))
-            flat += [number(g, none) for g in grams(w)]
+            if len(w) > LONG:
+                long.append((k, w))
+                flat.append(none)
+            else:
+                flat += [number(g, none) for g in grams(w)]
             wholes.append(number(" " + w, -1))
             allowed.append(self.scripts.get(script_of(w[0]), nothing))
         counts = np.diff([*starts, len(flat)])
         s = np.add.reduceat(self.table[flat], starts, axis=0) / np.sqrt(counts)[:, None]
+        for k, w in long:
+            s[k] = self._long(w)
         whole = np.array(wholes)
         s += np.where((whole >= 0)[:, None], self.table[whole], 0)
         may = np.array(allowed)
@@ -81,13 +98,26 @@ class Model:
         learned = may.any(1)[:, None]  # of a script that nothing was learned of there is no evidence either way
         return np.where(learned, np.where(may, np.maximum(s - np.where(learned, best, 0), RULED_OUT / 2), RULED_OUT), 0).astype(np.float32)
 
+    def _long(self, word: str) -> np.ndarray:
+        """The same sum for a word of any length, some n-grams at a time."""
+        number, none, w = self.numbers.get, len(self.table) - 1, f"<{word}>"
+        total = np.zeros(len(self.languages))
+        for n in (2, 3):
+            for at in range(0, len(w) - n + 1, BLOCK):
+                upto = min(at + BLOCK, len(w) - n + 1)
+                total += self.table[[number(w[i : i + n], none) for i in range(at, upto)]].sum(0)
+        return total / math.sqrt(2 * len(w) - 3)
+
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each text, rows of the table `known` for its words; a word's row is its place in the cache."""
+        for _ in range(self.passing):
+            self.cache.popitem()
         trim(self.cache, CACHED)
         cache = self.cache
         if not cache:
             self.known = np.zeros((0, len(self.languages)), np.float32)
-        new = list(set().union(*texts).difference(cache))
+        new = sorted(set().union(*texts).difference(cache), key=lambda w: len(w) > LONG)  # long ones are the newest, and go first
+        self.passing = sum(len(w) > LONG for w in new)
         if new:
             cache.update(zip(new, range(len(cache), len(cache) + len(new))))
             if len(cache) > len(self.known):
@@ -100,7 +130,7 @@ class Model:
         return [np.fromiter(map(cache.__getitem__, t), np.int64, len(t)) for t in texts]
 
 
-def fit(rows: list[tuple[str | None, str]], most_grams: int = 60_000) -> Model:
+def fit(rows: list[tuple[str | None, str]], most_grams: int = MOST_GRAMS) -> Model:
     """rows: (text, language). Counts of n-grams and words by language, smoothed; the commonest are kept."""
     words: dict[str, Counter] = defaultdict(Counter)
     for text, lang in rows:
@@ -207,14 +237,18 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
     return out
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 4000, key: str = "doc_id") -> Model:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 4000, key: str = "doc_id", most_letters: int = 20_000) -> Model:
     """Fit on a bounded sample of labelled rows: about most_rows of them, chosen by a hash of the key in each language.
 
     Each language gives as many rows as any other, or all it has, so a rare one is learned at any size of the table. Rows
-    whose language is null or blank are left out. With no such row the model knows no language.
+    whose language is null or blank are left out, and rows whose text has more than most_letters characters, unless their
+    language has no other. With no such row the model knows no language.
     """
     rows = df.where(F.col(lang).isNotNull() & (F.trim(F.col(lang)) != ""))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    short = F.coalesce(F.length(text), F.lit(0)) <= most_letters
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang).agg(F.count(F.when(short, 1)), F.count("*")).collect()}
+    rows = rows.where(short | F.col(lang).isin([k for k, (n, _) in counts.items() if not n]))
+    counts = {k: n or every for k, (n, every) in counts.items()}
     each = quota(list(counts.values()), most_rows)
     ways = 1 << 40
     limits = [x for k, n in counts.items() if n > each for x in (F.lit(k), F.lit(int(ways * each / n)))]
@@ -235,10 +269,12 @@ def quota(counts: list[int], most: int) -> int:
     return max(most_of, default=1)
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", spans: str | None = "lang_spans") -> DataFrame:
+def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", spans: str | None = "lang_spans", lasting: bool = True) -> DataFrame:
     """df with the predicted language, a score from 0 to 1 and, if a name is given, array<struct<word, words, lang>>.
 
-    Null texts and texts without a letter: `und`, 0.0 and no spans. Other columns named like these are replaced.
+    Null texts and texts without a letter: `und`, 0.0 and no spans. Words are read to their last letter. An empty table
+    gives no rows; repeated rows are labelled alike; of languages with equal evidence the first by name is taken. Other
+    columns named like these are replaced. lasting: workers keep the words they have scored for their next task.
     """
     require(df, text)
     added = [pred, score] + [spans] * bool(spans)
@@ -248,7 +284,6 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
     kind = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -258,4 +293,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
                     columns.append(pa.array([[{"word": a, "words": n, "lang": x} for a, n, x in f[2]] for f in found], kind))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy("", run, None if lasting else lambda: handle.value.forget()), schema)

@@ -62,6 +62,28 @@ def test_held_out_accuracy_of_language(spark):
     assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 4 == 2)
 
 
+def test_words_are_read_to_their_last_letter(spark):
+    """Words of any length; scores against a plain sum over all n-grams."""
+    m = model()
+    rng = np.random.default_rng(5)
+    words = ["the", "q" * 40 + "the" * 60, "q" * 40 + "чат" * 60, *("".join(rng.choice(list("theransonqéж"), n)) for n in (39, 40, 41, 199, 200, 201, 260, 70_000))]
+    table = m.score(words)
+    for w, row in zip(words, table):
+        found = [m.table[m.numbers.get(g, len(m.table) - 1)] for g in langid.grams(w)]
+        s = np.sum(found, 0) / np.sqrt(len(found)) + (m.table[m.numbers[" " + w]] if " " + w in m.numbers else 0)
+        may = m.scripts.get(langid.script_of(w[0]), np.zeros(len(m.languages), bool))
+        want = np.where(may, np.maximum(s - s[may].max(), langid.RULED_OUT / 2), langid.RULED_OUT) if may.any() else 0 * s
+        assert row == pytest.approx(want, abs=1e-3)
+    assert table[1].tolist() != table[2].tolist()  # they differ beyond the 40th letter only
+    for _ in range(3):  # long words are scored for one batch and leave the cache
+        assert [x[0] for x in langid.label(m, [EN, words[-1], words[1], FR])][0::3] == ["en", "fr"]
+    assert max(map(len, m.cache)) > langid.LONG and m.passing == 2
+    langid.label(m, [RU])
+    assert max(map(len, m.cache)) <= langid.LONG and sorted(m.cache.values()) == list(range(len(m.cache)))
+    df = spark.createDataFrame([(1, "mot " * 150_000), (2, "x" * 500_000), (2, "x" * 500_000)], "doc_id long, text string")
+    assert langid.identify(df, m, lasting=False).count() == 3
+
+
 def test_language_columns(spark):
     df = spark.createDataFrame([(1, EN, "old", "x"), (2, None, None, "y")], "doc_id long, text string, lang_pred string, Score string")
     out = langid.identify(df, model())
@@ -85,21 +107,113 @@ def test_a_rare_language_is_learned(spark, tmp_path):
     assert held in stay and 4002 not in stay and stay >= {3000, 3001, 3002}
 
 
+KNOWN = set(toxicity.Grammar().rates)
 GRAMMAR = toxicity.Grammar({"idiot": 1e-6, "scum": 1e-6, "clown$": 1e-5, "often": 1e-2}, -6.0, 4.0)
 
 
 def weight(text):
-    return sum(GRAMMAR.clause(text.split()).values())
+    return GRAMMAR.evidence(text)[1]
 
 
 def test_clauses():
     assert weight("you are an idiot") > weight("what an idiot") > weight("not an idiot") > 0
-    assert weight("what an idiot") > weight("he wrote an idiot") - GRAMMAR.target > 0
+    assert weight("what an idiot") > weight("he wrote an idiot") - GRAMMAR.weights.target > 0
     assert weight("i will kill you idiots") > weight("you are an idiot")
-    assert weight("kill the process") == weight("you will kill it") == 0
+    assert weight("kill the process") == weight("you will kill it") == 0 < weight("they killed, and will kill them") < 0.2
     assert weight("not one two three four idiot") == weight("what an idiot")
 
 
+def test_threats_score_by_themselves():
+    plain = toxicity.Grammar()
+    score = lambda t: plain.score(t)[0]
+    assert score("I will kill you tonight. I will hurt you.") > 0.7 > score("The frost will kill them.")
+    assert score("Ich werde dich töten. Je vais te tuer.") > 0.7 and score("I will not kill you.") < 0.3 > score("They burn wood.")
+    assert score("I will kill you") > score("He said I will kill you") > score("")
+    assert score("You idiot, you moron") > 0.7 > score("nobody is an idiot")
+
+
+PIECES_OF = {toxicity.OTHER: "x", toxicity.INSULT: "idiot", toxicity.VERB: "kill", toxicity.WILL: "will", toxicity.YOURS: "you", toxicity.OBJECT: "dich", toxicity.THEIRS: "them", toxicity.DENIAL: "not", toxicity.REPORT: "said"}
+
+
+def plain_marks(classes):
+    """Marks of a clause by their definitions, each word looking at the words before it."""
+    reach, out, someone = toxicity.REACH, [], (toxicity.YOURS, toxicity.OBJECT, toxicity.THEIRS)
+    struck = -1  # where the last threat or hint ended
+    for i, k in enumerate(classes):
+        denied = toxicity.DENIAL in classes[max(0, i - reach) : i + 1]
+        context = 1 if denied else 2 if toxicity.REPORT in classes[: i + 1] else 0
+        if k == toxicity.INSULT:
+            out.append(("insult", context))
+        both = lambda part: toxicity.INSULT in part and any(x in part for x in someone)
+        if both(classes[: i + 1]) and not both(classes[:i]):
+            out.append(("aim", context))
+        willing = lambda j: toxicity.WILL in classes[max(0, j - reach) : j]
+        near = range(max(struck + 1, i - reach + 1), i)
+        verbs = [j for j in near if classes[j] == toxicity.VERB]
+        # an object that an intention leads to, with no verb before it that it belongs to
+        objects = [j for j in near if classes[j] == toxicity.OBJECT and willing(j)]
+        if k == toxicity.VERB and objects:
+            out.append(("threat", context))
+            struck = i
+        elif k in someone and verbs:
+            out.append(("threat" if willing(verbs[-1]) and k != toxicity.THEIRS else "hint", context))
+            struck = i
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 8), max_size=14))
+def test_the_composed_machine_against_definitions(classes):
+    table, state, got = toxicity.composed(), 0, []
+    for k in classes:
+        got += table.out[state][k]
+        state = table.next[state][k]
+    assert sorted(got) == sorted(plain_marks(classes))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 8), max_size=9), max_size=5))
+def test_evidence_against_definitions(clauses):
+    text = ". ".join(" ".join(PIECES_OF[k] for k in c) for c in clauses)
+    words, w = sum(map(len, clauses)), GRAMMAR.weights
+    factor = (1.0, w.denied, w.reported)
+    counts = {"idiot": 0.0, toxicity.THREAT: 0.0, toxicity.HINT: 0.0}
+    for c in clauses:
+        for kind, context in plain_marks(c):
+            name = {"insult": "idiot", "aim": "idiot", "threat": toxicity.THREAT, "hint": toxicity.HINT}[kind]
+            counts[name] += w.target if kind == "aim" else factor[context] * (w.hint if kind == "hint" else 1.0)
+    rates = {"idiot": 1e-6, toxicity.THREAT: 1e-6, toxicity.HINT: 1e-4}
+    want = 0.0
+    for name, c in counts.items():
+        n = min(c, toxicity.REPEATS) + max(c - toxicity.REPEATS, 0) * max(0, 1 - toxicity.PASSAGE / max(words, 1))
+        if n > words * rates[name]:
+            want += n * np.log(n / (words * rates[name])) - (n - words * rates[name])
+    assert GRAMMAR.evidence(text)[0] == pytest.approx(want)
+
+
+def test_weights_are_learned():
+    """Where denied insults are as toxic as others, a denial is worth as much; where they are clean, next to nothing."""
+    rng = np.random.default_rng(6)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)]
+    text = lambda *more: " ".join([*rng.choice(words, 25), *more])
+    base = [(text(), 0) for _ in range(300)] + [(text("zorka"), 1) for _ in range(80)]
+    as_toxic, as_clean = (toxicity.fit(base + [(text("not", "zorka"), y) for _ in range(80)]) for y in (1, 0))
+    assert as_toxic.weights.denied > as_clean.weights.denied
+    t = text("not", "zorka")
+    assert as_toxic.score(t)[0] > 0.7 > as_clean.score(t)[0]
+
+
+def test_toxicity_edges(spark):
+    long = "fine words " * 200_000 + "you idiot"
+    df = spark.createDataFrame([(1, "you idiot, you moron", 0.5), (1, "you idiot, you moron", 0.5), (2, None, 0.5), (3, long, 0.5)], "doc_id long, text string, TOXICITY double")
+    got = toxicity.score(df, toxicity.Grammar()).collect()
+    assert [sorted(r.asDict()) for r in got] == [["doc_id", "text", "toxic_matches", "toxicity"]] * 4
+    assert got[0]["toxicity"] == got[1]["toxicity"] > 0.7 > got[2]["toxicity"] and got[3]["toxic_matches"] == 2
+    kept = toxicity.score(df, toxicity.Grammar(), out="Score", hits="N", lasting=False)
+    assert kept.columns == ["doc_id", "text", "TOXICITY", "Score", "N"] and kept.count() == 4
+    assert toxicity.score(df.limit(0), toxicity.Grammar()).count() == 0
+
+
 def test_scores():
     low = GRAMMAR.score("")[0]
     assert low == GRAMMAR.score(None)[0] == GRAMMAR.score("a fine day. idio")[0] < 0.1
@@ -127,9 +241,9 @@ def test_learned_stems():
     clean = [(" ".join(rng.choice(words, 40)), 0) for _ in range(400)]
     toxic = [(" ".join([*rng.choice(words, 40), f"zorka{rng.choice(words)}"]), 1) for _ in range(60)]
     grammar = toxicity.fit(clean + toxic)
-    assert list(grammar.rates) == ["zorkaw"]
+    assert set(grammar.rates) - KNOWN == {"zorkaw"}
     assert all((grammar.score(t)[0] >= 0.7) == bool(y) for t, y in clean + toxic)
-    assert toxicity.fit([]).rates == toxicity.fit(clean).rates == {}
+    assert set(toxicity.fit([]).rates) == set(toxicity.fit(clean).rates) == KNOWN
     some = [(f"{t} zorkab" if i % 20 == 0 else t, 0) for i, (t, _) in enumerate(clean)]  # clean texts have a stem by chance
     twice = [(f"{t} zorkaq zorkaz", 1) for t, _ in toxic]
     grammar = toxicity.fit(some + twice)
@@ -143,7 +257,7 @@ def test_a_small_language_has_its_stems():
     clean = [(text("w"), 0) for _ in range(1200)] + [(text("v"), 0) for _ in range(400)]
     large, small = [(text("w", "zorka"), 1) for _ in range(400)], [(text("v", "grubl"), 1) for _ in range(14)]
     grammar = toxicity.fit(clean + large + small)
-    assert sorted(grammar.rates) == ["grubl", "zorka"]
+    assert set(grammar.rates) - KNOWN == {"grubl", "zorka"}
     assert all((grammar.score(t)[0] >= 0.7) == bool(y) for t, y in clean + large + small)
 
 
