@@ -9,6 +9,7 @@ each piece its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm import latin
-from rankspark.llm.common import make_room, materialize, per_worker, require, trim
+from rankspark.llm.common import make_room, materialize, per_worker, require, tidy, trim
 
 CAPACITY = 2048
 END = 0
 #: The pattern of the word tokenizer's pieces, for Latin text.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{latin.LETTERS}]+|[{latin.NUMBERS}]|[^{latin.SPACES}{latin.LETTERS}{latin.NUMBERS}]+"
 CACHED = 400_000
+#: Pieces that one task ranks, at any size of the table.
+MOST_RANKED = 2_000_000
 
 
 class WordTokenizer:
@@ -78,14 +81,14 @@ class WordTokenizer:
         return [self._library(t) if p is None else np.frombuffer(b"".join(map(get, p)), "<u4") for t, p in zip(texts, pieces)]
 
 
-def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if wanted, ids. A null text is an empty one: id 0 alone."""
+def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, lasting: bool = True) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if wanted, ids. A null text is an empty one: id 0
+    alone. lasting: workers keep the words they have looked up for their next task."""
     require(df, doc_id, text)
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room(__name__)
         words = per_worker(WordTokenizer, tokenizer)
         for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             rows: list[tuple] = []
@@ -107,7 +110,8 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return base.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    forget = None if lasting else lambda: per_worker(WordTokenizer, tokenizer).cache.clear()
+    return base.mapInArrow(tidy(__name__, run, forget), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 @dataclass(frozen=True)
@@ -160,27 +164,46 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def fillings(counts: np.ndarray, capacity: int, most: int = 6, nodes: int = 1500) -> list[tuple[int, ...]]:
+#: Budgets of the search, which bound the driver's work, not the rows packed: fillings tried around a piece, other
+#: lengths tried at a place, nodes of an enumeration and of the search. Each may be None: without a bound.
+MOST_FILLINGS, MOST_TRIED, ENUMERATED, SEARCHED = 6, 12, 1500, 6000
+
+
+@dataclass(frozen=True)
+class Budget:
+    """What the search may spend; UNBOUNDED proves the fewest sequences, in time that can grow exponentially."""
+
+    fillings: float = MOST_FILLINGS
+    tried: float = MOST_TRIED
+    enumerated: float = ENUMERATED
+    searched: float = SEARCHED
+
+
+UNBOUNDED = Budget(math.inf, math.inf, math.inf, math.inf)
+
+
+def fillings(counts: np.ndarray, capacity: int, budget: Budget = Budget()) -> list[tuple[int, ...]]:
     """Undominated fillings around the largest piece, the least waste first.
 
     Dominated, and left out: a filling to which a piece can be added, or in which a larger piece left fits instead of one.
     """
+    most, spent = budget.fillings, 0
     first = _largest(counts, capacity)
     sizes = np.flatnonzero(counts)[::-1].tolist()
     found: list[tuple[int, tuple[int, ...]]] = []
     least = sizes[-1]
-    budget = nodes
+    exhaustive = budget.fillings == math.inf
 
     def search(room: int, chosen: list[int], upto: int) -> None:
-        nonlocal budget
-        budget -= 1
-        if sum(w == 0 for w, _ in found) >= most or budget < 0:
+        nonlocal spent
+        spent += 1
+        if sum(w == 0 for w, _ in found) >= most or spent > budget.enumerated:
             return
         n = min(upto, room)
         smallest_waste = min((w for w, _ in found), default=capacity)
         extended = False
         tried = 0
-        while n >= 1 and tried < 12 and budget >= 0:
+        while n >= 1 and tried < budget.tried and spent <= budget.enumerated:
             n = _largest(counts, n)
             if not n:
                 break
@@ -190,7 +213,7 @@ def fillings(counts: np.ndarray, capacity: int, most: int = 6, nodes: int = 1500
                 chosen.append(n)
                 search(room - n, chosen, n)
                 chosen.pop()
-                if found and min(w for w, _ in found) == 0 and len(chosen) > 1:
+                if not exhaustive and found and min(w for w, _ in found) == 0 and len(chosen) > 1:
                     return  # a perfect filling: nothing further down is better
             n -= 1
         if not extended and (room <= smallest_waste or len(found) < most) and not _dominated(counts, chosen, room):
@@ -200,7 +223,7 @@ def fillings(counts: np.ndarray, capacity: int, most: int = 6, nodes: int = 1500
         return [(first,)]
     search(capacity - first, [first], first)
     found.sort(key=lambda f: (f[0], len(f[1]), tuple(-n for n in f[1])))
-    return [f for _, f in found[:most]]
+    return [f for _, f in (found if exhaustive else found[: int(most)])]
 
 
 def _dominated(counts: np.ndarray, chosen: list[int], room: int) -> bool:
@@ -211,21 +234,39 @@ def _dominated(counts: np.ndarray, chosen: list[int], room: int) -> bool:
     return False
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000) -> list[Pattern]:
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Sequences that any packing needs: ceil(tokens / capacity), or more, as for each k the pieces longer than capacity
+    - k can share a sequence with no piece of k or more, and those longer than half with none of their own kind."""
+    counts = np.asarray(counts, np.int64)
+    n = np.arange(len(counts))
+    mass = counts * n
+    best = -(-int(mass.sum()) // capacity)
+    above, inside = np.cumsum(counts[::-1])[::-1], np.concatenate([[0], np.cumsum(mass)])
+    for k in range(1, capacity // 2 + 1):
+        alone = int(above[capacity - k + 1]) if capacity - k + 1 < len(counts) else 0
+        half = int(above[capacity // 2 + 1]) - alone if capacity // 2 + 1 < len(counts) else 0
+        middle = int(inside[min(capacity - k, len(counts) - 1) + 1] - inside[min(k, len(counts))])
+        big = int(inside[min(capacity - k, len(counts) - 1) + 1] - inside[min(capacity // 2 + 1, len(counts))])
+        spare = half * capacity - big  # room beside the pieces longer than half
+        best = max(best, alone + half + max(0, -(-(middle - big - spare) // capacity)))
+    return best
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, budget: Budget = Budget()) -> list[Pattern]:
     """Patterns that use every piece once. counts[n]: pieces of length n.
 
-    The search ends at a packing that the lower bound ceil(tokens / capacity) proves best, or after so many nodes with
-    the best packing found.
+    The search ends at a packing that the lower bound proves best, or, when the budget is spent, with the best packing
+    found; what it may lack then is its sequences less lower_bound().
     """
     counts = np.asarray(counts, np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     if not total:
         return []
-    lower = -(-total // capacity)
+    lower, nodes = lower_bound(counts, capacity), budget.searched
     incumbent = best_fit(counts, capacity)
     fewest = sum(t for _, t in incumbent)
     path: list[tuple[tuple[int, ...], int]] = []
-    stack = [(counts, 0, fillings(counts, capacity))]
+    stack = [(counts, 0, choices_of(counts, capacity, budget))]
     while stack and fewest > lower and nodes > 0:
         left, wasted, choices = stack[-1]
         if not choices:
@@ -233,12 +274,10 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000) -> lis
             if path:
                 path.pop()
             continue
-        filling = choices.pop(0)
+        filling, times = choices.pop(0)
         nodes -= 1
-        times = _times(left, filling)
         now = wasted + times * (capacity - sum(filling))
-        if total + now > (fewest - 1) * capacity:  # the waste so far can't beat the incumbent
-            stack[-1] = (left, wasted, [])
+        if total + now > (fewest - 1) * capacity:  # this choice's waste can't beat the incumbent; another's may
             continue
         after = _take(left, filling, times)
         path.append((filling, times))
@@ -254,7 +293,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000) -> lis
         if sum(t for _, t in path) + -(-rest // capacity) >= fewest:
             path.pop()
             continue
-        stack.append((after, now, fillings(after, capacity)))
+        stack.append((after, now, choices_of(after, capacity, budget)))
     out = []
     for filling, times in incumbent:
         use: dict[int, int] = {}
@@ -264,6 +303,14 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000) -> lis
     return out
 
 
+def choices_of(counts: np.ndarray, capacity: int, budget: Budget) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often each is used: as often as the counts allow, then, after all fillings, less often."""
+    found = [(f, _times(counts, f)) for f in fillings(counts, capacity, budget)]
+    fewer = range(1, max((t for _, t in found), default=0)) if budget.fillings == math.inf else ()
+    halves = {t // 2 for _, t in found if t > 1} | {1}
+    return found + [(f, k) for k in sorted({*fewer, *halves}, reverse=True) for f, t in found if k < t]
+
+
 @dataclass(frozen=True)
 class Places:
     """For each length, runs of ranks: where a run begins, its first sequence, its offset, pieces per sequence."""
@@ -300,7 +347,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 512) -
     """parts (doc_id, piece, length, ...) with sequence_id and offset. parts should be a table: it is read twice.
 
     Every piece is placed once; an empty table gives no rows. A length that many pieces share is ranked in many
-    tasks: its pieces are dealt into buckets by a hash, and a bucket's ranks begin after those of the buckets before.
+    tasks: its pieces are dealt into buckets by a hash, and a bucket's ranks begin after those of the buckets before. A
+    bucket has 1/4,096 of the pieces, MOST_RANKED at most; the driver holds one number for each.
     """
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)
@@ -308,7 +356,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 512) -
         histogram[n] = c
     total = int(histogram.sum())
     spark = parts.sparkSession
-    each = max(rows_per_task, total // 4096)
+    each = min(max(rows_per_task, total // 4096), MOST_RANKED)
     buckets = {n: -(-c // each) for n, c in counts.items()}
     many = F.create_map(*[F.lit(x).cast("long") for kv in buckets.items() if kv[1] > 1 for x in kv]) if any(b > 1 for b in buckets.values()) else None
     ways = F.coalesce(many[F.col("length")], F.lit(1)) if many is not None else F.lit(1).cast("long")
@@ -336,6 +384,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 512) -
     return ranked.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, lasting: bool = True) -> DataFrame:
     """Tokenize, cut and pack: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    return pack(materialize(pieces(docs, tokenizer, doc_id, text, capacity, keep_ids), "pieces"), capacity)
+    return pack(materialize(pieces(docs, tokenizer, doc_id, text, capacity, keep_ids, lasting), "pieces"), capacity)

@@ -75,6 +75,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_b
 _REACH = "reach AS (SELECT id AS a, id AS m FROM nodes UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.m), c AS (SELECT a AS id, min(m) AS component_id FROM reach GROUP BY a)"
 
 ORACLES: dict[str, str] = {
+    "op2_repeats": """
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), s AS MATERIALIZED (
+            SELECT r, i, md5(h[2 * i + 1:2 * i + 800]) AS g FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)
+        ), c AS (
+            SELECT r, i FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)
+        ), k AS (
+            SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run
+            FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM c)
+        ), u AS (
+            SELECT r, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY r, run
+        ), x AS (
+            SELECT w.r, string_agg(h[2 * p + 1:2 * a], '' ORDER BY a) AS head, max(b) AS tail, sum(b - a) AS gone, count(*) AS spans
+            FROM (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM u) w JOIN d ON d.r = w.r GROUP BY w.r
+        )
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+            sha256(unhex(coalesce(head, '') || h[2 * coalesce(tail, 0) + 1:])) AS kept_sha256
+        FROM d LEFT JOIN x ON x.r = d.r""",
     "op3_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings

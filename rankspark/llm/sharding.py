@@ -26,6 +26,8 @@ TOLERANCE = 0.001
 #: It may miss it by this share so that a group of equal texts stays whole.
 FOR_GROUPS = 0.01
 OVERHEAD = 8
+#: Rows of a bin that one task sorts, at any size of the table.
+MOST_ROWS = 2_000_000
 
 
 def row_key(text: Column, doc_id: Column) -> Column:
@@ -70,12 +72,13 @@ def _probe(keys: DataFrame, step: int, within: list[Bin] | None) -> list[Bin]:
 def histogram(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[Bin], list[int]]:
     """Bins in key order, and the splitters as numbers of bins before each shard but the first.
 
-    The driver holds bins only: 4,096 of the first round, and the finer ones of bins that hold a splitter or more than
-    1/1,024 of the rows (256 at least).
+    The driver holds bins only: 4,096 of the first round, and the finer ones of bins that hold a splitter or more rows
+    than one task is to sort: 1/1,024 of all (256 at least), MOST_ROWS at most, so a task's work has a bound; a bin takes
+    some 100 bytes of the driver for each MOST_ROWS / 2,048 rows or more.
     """
     bins = _probe(keys, STEPS[0], None)
     rows, total = sum(b.rows for b in bins), sum(b.bytes for b in bins)
-    most_rows, most_bytes = max(256, rows // 1024), max(1, int(tolerance * total / shards))
+    most_rows, most_bytes = min(max(256, rows // 1024), MOST_ROWS), max(1, int(tolerance * total / shards))
     targets = [total * i // shards for i in range(1, shards)]
     for step in STEPS[1:]:
         bins.sort(key=lambda b: b.start)
@@ -144,7 +147,8 @@ def _exchange(spark: SparkSession, rows: DataFrame, bins: list[Bin], splitters:
         names = [f"_p{step}", f"_k{step}", f"_s{step}", f"_o{step}"]
         rows = rows.join(F.broadcast(_small(spark, values, names)), F.shiftright(key, step) == F.col(names[0]), "left")
         matched.append(names)
-    pick = lambda i: F.coalesce(*[F.col(n[i]) for n in matched], F.lit(0).cast("long"))
+    lost = F.raise_error(F.lit("a row has no bin: its key isn't in the histogram")).cast("long")
+    pick = lambda i: F.coalesce(*[F.col(n[i]) for n in matched], lost)
     rows = rows.withColumn(bin_, pick(1)).withColumn("law", F.lit(LAW)).withColumn("shard", pick(2).cast("int")).withColumn("slot", pick(3))
     rows = rows.drop(*[n for names in matched for n in names])
     rank = F.row_number().over(Window.partitionBy(bin_).orderBy(key, doc_id))

@@ -8,11 +8,13 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rankspark.llm import packing, sharding
+from rankspark.llm import langid, packing, sharding, toxicity
 from rankspark.llm.queries import op5_sharding, op6_packing
+from tests.llm.test_jaccard import brute as plain_classes
 from tests.llm.test_suffix_dedup import brute
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -100,6 +102,59 @@ def valid(counts, patterns, capacity):
     return sum(p.times for p in patterns)
 
 
+def plain_shards(rows, shards):
+    """The law by plain Python: rows in key order, splitters where the bytes before them are nearest to their share, moved
+    to the nearest edge of a group of equal texts if that is within FOR_GROUPS of a shard."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k]["key"], rows[k]["doc_id"]))
+    edges, bins = [0], []  # rows of one key are one bin
+    for k in order:
+        if bins and rows[bins[-1][0]]["key"] == rows[k]["key"]:
+            bins[-1].append(k)
+            edges[-1] += rows[k]["size"]
+        else:
+            bins.append([k])
+            edges.append(edges[-1] + rows[k]["size"])
+    total = edges[-1]
+    whole = [j for j in range(len(bins) + 1) if j in (0, len(bins)) or rows[bins[j][0]]["key"] >> 32 != rows[bins[j - 1][0]]["key"] >> 32]
+    cuts = []
+    for i in range(1, shards):
+        t = total * i // shards
+        near, group = (min(c, key=lambda j: abs(edges[j] - t)) for c in (range(len(edges)), whole))
+        pick = group if abs(edges[group] - t) <= sharding.FOR_GROUPS * total / shards else near
+        cuts.append(max(pick, cuts[-1] if cuts else 0))
+    shard, slot, used = {}, {}, Counter()
+    for j, members in enumerate(bins):
+        for k in members:
+            shard[k] = sum(c <= j for c in cuts)
+            slot[k] = used[shard[k]]
+            used[shard[k]] += 1
+    return shard, slot
+
+
+@pytest.mark.parametrize("shards,seed", [(6, 1), (24, 2), (3, 3)])
+def test_shards_against_plain_python(spark, shards, seed):
+    """Every row's shard and slot: the histogram's bins end at single keys here, so nothing is within a tolerance only."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, "t" * int(rng.integers(1, 400)) + str(i % 211)) for i in range(900)] + [(1000 + i, "copy " * 30) for i in range(500)] + [(5000, None), (5001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = df.withColumn("key", sharding.row_key(F.coalesce("text", F.lit("")), F.col("doc_id")))
+    size = sharding.row_size(F.col("text"))
+    given = [r.asDict() for r in keyed.select("doc_id", "key", size.alias("size")).collect()]
+    shard, _ = plain_shards(given, shards)
+    want = {r["doc_id"]: shard[k] for k, r in enumerate(given)}
+    got = sharding.shard(df, shards).collect()
+    total = sum(r["size"] for r in given)
+    off = Counter()
+    for r in got:
+        if r["shard"] != want[r["doc_id"]]:
+            off[min(r["shard"], want[r["doc_id"]])] += r["size"]
+    assert all(b <= max(sharding.TOLERANCE, 2 * sharding.FOR_GROUPS) * total / shards + 2 * 500 for b in off.values())
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values()) and len(got) == len(rows)
+
+
 def fewest(lengths, capacity):
     """Exhaustive search."""
     best = len(lengths)
@@ -124,7 +179,18 @@ def fewest(lengths, capacity):
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_plans_against_exhaustive_search(lengths):
     counts = np.bincount(lengths, minlength=21)
-    assert valid(counts, packing.plan(counts, 20), 20) == fewest(sorted(lengths, reverse=True), 20)
+    best = fewest(sorted(lengths, reverse=True), 20)
+    assert packing.lower_bound(counts, 20) <= best
+    assert valid(counts, packing.plan(counts, 20), 20) == valid(counts, packing.plan(counts, 20, packing.UNBOUNDED), 20) == best
+
+
+def test_a_third_of_all_pieces_just_over_half_a_sequence():
+    """Copies that can't be paired: the lower bound knows it, so the plan is proved best."""
+    counts = np.bincount(np.concatenate([np.full(10_000, 1100), np.random.default_rng(2).integers(1, 1500, 20_000)]), minlength=2049)
+    n = valid(counts, packing.plan(counts), 2048)
+    assert packing.lower_bound(counts) <= n <= packing.lower_bound(counts) + 2
+    alone = np.bincount([1100] * 500 + [1000] * 3, minlength=2049)
+    assert valid(alone, packing.plan(alone), 2048) == packing.lower_bound(alone) == 502
 
 
 def test_large_plans_reach_the_bound():
@@ -232,6 +298,30 @@ def test_the_passage_stage_against_brute_force(spark, tmp_path):
     assert got[500]["text"] is None and all(p not in r["text"] for r in got.values() if r["text"] for p in passages[:12])
 
 
+def test_the_pipeline_against_plain_python(spark, tmp_path):
+    """run() against the stages' rules, text by text and pair by pair."""
+    rows, _ = pipeline_docs()
+    rows = [r for r in dict.fromkeys(rows) if r[0] is not None and r[0] < 705][:-1]
+    spark.createDataFrame(rows, DDL).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(400 + i, 1, int(i < 60)) for i in range(120)] + [(i, 1, 0) for i in range(300)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    fold = lambda i, n: zlib.crc32(str(i).encode()) % n
+    model = langid.fit([(t, lang) for i, t, lang, *_ in rows if lang and fold(i, 4) != 2])
+    said = langid.label(model, [r[1] for r in rows])
+    left = {r[0]: r[1] for r, (pred, score, _) in zip(rows, said) if pred != "und" and (score >= corpus_pipeline.LEAST_LANGUAGE or len(r[1].split()) < corpus_pipeline.FEW_WORDS)}
+    grammar = toxicity.fit([(left[i], y) for i, _, y in labels if i in left and fold(i, 3) != 1])
+    left = {i: t for i, t in left.items() if grammar.score(t)[0] < corpus_pipeline.TOXIC_FROM}
+    left = {i: left[i] for i, (_, component) in plain_classes(list(left.items())).items() if i == component}
+    cut = brute(list(left.values()), corpus_pipeline.PASSAGE_BYTES, True, corpus_pipeline.PASSAGE_WORDS)
+    left = {i: kept.decode() for i, (_, _, kept) in zip(left, cut)}
+    assert sum(removed > 0 for removed, _, _ in cut) == 2 and 300 < len(left) < len(rows) - 60
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(left)
+    n = check_packing(packed, list(left.items()))
+    lengths = np.bincount([r["length"] for r in packed], minlength=packing.CAPACITY + 1)
+    assert n == packing.lower_bound(lengths)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_an_empty_table(spark, tmp_path, stage):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
