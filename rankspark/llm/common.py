@@ -6,9 +6,11 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,8 +76,18 @@ def step(spark: SparkSession) -> Iterator[None]:
 BATCH_ROWS = 2000
 
 
+def share_imports(spark: SparkSession) -> None:
+    """Python workers are forked from a daemon: let it import the libraries that all of them need (see preload)."""
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parent / "preload")
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), here])
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of rows of an Arrow batch, if it is higher than BATCH_ROWS."""
+    """Lower the session's limit of rows of an Arrow batch, if it is higher than BATCH_ROWS, and let workers share what
+    they import."""
+    share_imports(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
