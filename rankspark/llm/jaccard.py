@@ -344,18 +344,19 @@ def _meetings(members: DataFrame) -> DataFrame:
     of M members of one component and a few of others costs M / GROUP meetings of these few, not M * M / GROUP.
     """
     parts = members.groupBy("token", "component").agg(F.count("*").alias("c"))
-    own = F.when(F.col("c") > GROUP, F.col("component"))
-    blocks = parts.groupBy("token", own.alias("owner")).agg(F.sum("c").alias("members"), F.count("*").alias("components"))
-    mixed = blocks.groupBy("token").agg(F.sum("components").alias("all")).where("all > 1").select("token")
-    blocks = materialize(blocks.join(mixed, "token").select("token", "owner", F.ceil(F.col("members") / GROUP).alias("ways")), "blocks")
-    big = blocks.where("owner is not null").select("token", F.col("owner").alias("component"), F.col("ways").alias("big"))
-    small = blocks.where("owner is null").select("token", F.col("ways").alias("small"))
-    placed = members.join(blocks.select("token").distinct(), "token", "left_semi").join(big, ["token", "component"], "left").join(small, "token", "left")
-    owner = F.when(F.col("big").isNotNull(), F.col("component"))
-    ways = F.coalesce("big", "small")
-    placed = placed.withColumn("owner", owner).withColumn("mine", F.xxhash64("owner", F.pmod(F.xxhash64("id", F.lit(9)), ways)))
-    each = blocks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1))).select("token", F.col("owner").alias("_owner"), F.xxhash64("owner", "k").alias("other"))
-    work = placed.join(each, "token").where(F.col("owner").isNull() | F.col("_owner").isNull() | (F.col("owner") != F.col("_owner")))
+    owner = F.when(F.col("c") > GROUP, F.col("component"))
+    blocks = parts.groupBy("token", owner.alias("owner")).agg(F.sum("c").alias("members"), F.count("*").alias("components"))
+    ways = F.ceil(F.col("members") / GROUP)
+    blocks = blocks.groupBy("token").agg(F.sum("components").alias("all"), F.collect_list(F.struct("owner", ways.alias("ways"))).alias("blocks"))
+    blocks = materialize(blocks.where("all > 1").select("token", "blocks"), "blocks")
+    placed = members.join(blocks, "token")  # the one exchange of bitmaps; what follows is inside a row
+    big = F.get(F.filter("blocks", lambda b: b["owner"] == F.col("component")), F.lit(0))["ways"]
+    small = F.get(F.filter("blocks", lambda b: b["owner"].isNull()), F.lit(0))["ways"]
+    placed = placed.withColumn("owner", F.when(big.isNotNull(), F.col("component"))).withColumn("ways", F.coalesce(big, small))
+    mine = F.xxhash64("owner", F.pmod(F.xxhash64("id", F.lit(9)), F.col("ways")))
+    met = F.filter("blocks", lambda b: F.col("owner").isNull() | b["owner"].isNull() | (b["owner"] != F.col("owner")))
+    others = F.flatten(F.transform(met, lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["ways"] - 1), lambda k: F.xxhash64(b["owner"], k))))
+    work = placed.select("token", mine.alias("mine"), "id", "n", "bits", "component", F.explode(others).alias("other"))
     return work.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "n", "bits", "component")
 
 

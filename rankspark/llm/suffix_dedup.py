@@ -156,13 +156,13 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 _PACKED = np.dtype([("h", "<u8"), ("g", "<u8"), ("rid", "<i8"), ("at", "<i8")])
-_ROW = "kind int, key long, rid long, firsts array<long>, lead int, n int, w int, blob binary"
+_ROW = "kind int, key long, rid long, first long, lead int, n int, w int, blob binary"
 _SPAN = "rid long, first long, n long, lrid long, lfirst long"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["kind", "key", "rid", "firsts", "lead", "n", "w", "blob"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["kind", "key", "rid", "first", "lead", "n", "w", "blob"]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
@@ -210,7 +210,8 @@ def _paired(x: np.ndarray, across: bool) -> list[tuple[int, int, int, int, int]]
 def _spread(length: int, block: int, ways: int, across: bool):
     """Contexts and hashes of a task's texts at repeated anchors; what repeats inside the task is settled here.
 
-    Rows of kind 0: a context; 1: packed hashes of strings; 2: strings that are known to repeat.
+    Rows of kind 0: a context; 1: packed hashes of strings; 2: strings that are known to repeat. Across documents, a
+    string stands for its other places in a document, which are found when the document is cut.
     """
 
     def flush(held: dict, many: list[np.ndarray], raws: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +219,8 @@ def _spread(length: int, block: int, ways: int, across: bool):
         for (key, lead, n, blob), owners in held.items():
             again = len({r for r, _ in owners}) > 1 if across else len(owners) > 1
             if again:
-                rows += [(2, rid, rid, [first], None, n, None, None) for rid, first in owners]
-            firsts = [owners[0][1]] if again else [first for _, first in owners]
-            rows.append((0, key, owners[0][0], firsts, lead, n, 1 + again, blob))
+                rows += [(2, rid, rid, first, None, n, None, None) for rid, first in owners]
+            rows.append((0, key, *owners[0], lead, n, 1 + again, blob))
             if len(rows) >= 5000:
                 yield _rows(rows)
                 rows = []
@@ -231,7 +231,7 @@ def _spread(length: int, block: int, ways: int, across: bool):
             runs = _paired(x[twice[group]], across)
             if all(raws[a][i : i + n - 1 + length] == raws[b][j : j + n - 1 + length] for a, i, n, b, j in runs):
                 for at in range(0, len(runs), 10_000):
-                    yield _rows([(2, r, r, [i], None, n, None, None) for a, f, n, b, j in runs[at : at + 10_000] for r, i in ((a, f), (b, j))])
+                    yield _rows([(2, r, r, i, None, n, None, None) for a, f, n, b, j in runs[at : at + 10_000] for r, i in ((a, f), (b, j))])
                 x = x[~twice[group] | np.concatenate([[True], group[1:] != group[:-1]])]  # the others are known by now
             bucket = (x["h"] % np.uint64(ways)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -255,6 +255,8 @@ def _spread(length: int, block: int, ways: int, across: bool):
                     a, b, c = int(place[k]), int(first[k]), int(n[k])
                     blob = raw[b : b + c - 1 + length]
                     owners = held.setdefault((int(signed[k]), a - b, c, blob), [])
+                    if across and owners and owners[-1][0] == rid:
+                        continue
                     owners.append((rid, b))
                     size += len(blob) if len(owners) == 1 else 16
                 wide = np.flatnonzero(np.isin(signed, np.array(common, np.int64)))
@@ -264,6 +266,8 @@ def _spread(length: int, block: int, ways: int, across: bool):
                     whole, half = hashing.substrings(p, starts, starts + length), hashing.substrings(p, starts, starts + length // 2)
                     x["h"], x["g"] = hashing.mix(whole), hashing.mix(hashing.mix(half) + whole * np.uint64(5))
                     x["rid"], x["at"] = rid, starts
+                    if across:  # a periodic text has few strings at many places
+                        x = x[np.sort(np.unique(x[["h", "g"]], return_index=True)[1])]
                     many.append(x)
                     raws[rid] = raw
                     size += x.nbytes + len(raw)
@@ -284,8 +288,8 @@ def _settle(length: int, across: bool):
 
     def contexts(group: list[tuple]) -> list[tuple]:
         distinct: dict[tuple, list] = {}
-        for rid, firsts, lead, n, w, blob in group:
-            distinct.setdefault((lead, n, blob), []).append((rid, firsts, w))
+        for rid, first, lead, n, w, blob in group:
+            distinct.setdefault((lead, n, blob), []).append((rid, first, w))
         keys = list(distinct)
         docs: dict[int, int] = {}
         again, owner = [], []
@@ -297,11 +301,11 @@ def _settle(length: int, across: bool):
         out = []
         for k, twice, offsets in zip(keys, again, found):
             lead, n = k[:2]
-            for rid, firsts, _ in distinct[k]:
+            for rid, first, _ in distinct[k]:
                 if twice:
-                    out += [(rid, first, n) for first in firsts]
+                    out.append((rid, first, n))
                 else:
-                    out += [(rid, first + lead - b, b - a + 1) for first in firsts for a, b in _runs(offsets)]
+                    out += [(rid, first + lead - b, b - a + 1) for a, b in _runs(offsets)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,14 +318,14 @@ def _settle(length: int, across: bool):
             return contexts(group) if key[0] == 0 else _paired(np.concatenate([np.frombuffer(b, _PACKED) for b in group]), across)
 
         for b in batches:
-            for kind, k, rid, firsts, lead, n, w, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "rid", "firsts", "lead", "n", "w", "blob"))):
+            for kind, k, rid, first, lead, n, w, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "rid", "first", "lead", "n", "w", "blob"))):
                 if kind == 2:
-                    out.append((rid, firsts[0], n))
+                    out.append((rid, first, n))
                     continue
                 if (kind, k) != key:
                     out += done()
                     key, group = (kind, k), []
-                group.append((rid, firsts, lead, n, w, blob) if kind == 0 else blob)
+                group.append((rid, first, lead, n, w, blob) if kind == 0 else blob)
             if len(out) > 20_000:
                 yield batch(out)
                 out = []
@@ -389,6 +393,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, block: int | None = None, man
     return found.groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
+def other_places(raw: bytes, spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Spans (first, 1) at which the document has the strings of some spans again."""
+    data = np.frombuffer(raw, np.uint8)
+    starts = np.arange(len(data) - length + 1)
+    h = hashing.substrings(hashing.prefix(data), starts, starts + length)
+    found = np.zeros(len(starts), bool)
+    for first, n in spans:
+        found[first : first + n] = True
+    again = np.isin(h, h[found]) & ~found
+    if not again.any():
+        return []
+    strings = {raw[i : i + length] for i in np.flatnonzero(found & np.isin(h, h[again])).tolist()}
+    return [(i, 1) for i in np.flatnonzero(again).tolist() if raw[i : i + length] in strings]
+
+
 def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes (begin, end) that strings (first, n) cover."""
     out: list[list[int]] = []
@@ -444,7 +463,10 @@ def remove_repeats(
             out = []
             for t, strings in zip(batch.column(whole).to_pylist(), batch.column(found).to_pylist()):
                 raw, at, parts = t.encode("utf-8"), 0, []
-                gone = covered([(s["first"], s["n"]) for s in strings or ()], length)
+                found_here = [(s["first"], s["n"]) for s in strings or ()]
+                if across and found_here:
+                    found_here += other_places(raw, found_here, length)
+                gone = covered(found_here, length)
                 gone = [(begin, end) for begin, end in gone if not words or len(raw[begin:end].split()) >= words]
                 for begin, end in gone:
                     parts.append(raw[at:begin])
