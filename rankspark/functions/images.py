@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +65,10 @@ def smart_resize(height: Column, width: Column, factor: int = FACTOR, min_pixels
     out_h = F.when(wide & (h2 > w2), w2 * MAX_RATIO).otherwise(h2)
     out_w = F.when(wide & (h2 <= w2), h2 * MAX_RATIO).otherwise(w2)
     return F.struct(out_h.cast("long").alias("height"), out_w.cast("long").alias("width"))
+
+
+def blank_image(width: int = 224, height: int = 224) -> bytes:
+    """A white PNG, in place of an image that is missing or can't be read."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = (b"\0" + b"\xff" * (3 * width)) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")

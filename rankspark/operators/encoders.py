@@ -105,6 +105,21 @@ def encode_images(df: DataFrame, encoder, image: str = "bytes", out: str = "embe
     return df.mapInArrow(run, schema)
 
 
+def encode_joint(df: DataFrame, encoder, text: str = "content", image: str = "bytes", out: str = "embedding") -> DataFrame:
+    """df with vectors of texts and images that one model takes together; either may be null, not both."""
+    if not hasattr(encoder, "encode_joint"):
+        raise ValueError(f"{type(encoder).__name__} has no encode_joint: this model takes a text with its image")
+    schema = df.schema.simpleString()[7:-1] + f",{out}:array<float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                vectors = np.asarray(encoder.encode_joint(part.column(text).to_pylist(), part.column(image).to_pylist()), np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors.tolist(), pa.list_(pa.float32()))], names=[*part.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Model:
     """A retrieval model: how texts are prepared, what encodes them, how vectors are compared."""

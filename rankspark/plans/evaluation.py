@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import vectors
@@ -17,15 +17,22 @@ def dense_run(queries: DataFrame, corpus: DataFrame, model: encoders.Model, excl
     return dense(asked.select("query_id", F.col("embedding").alias("q")), docs.select("doc_id", "pos", F.col("embedding").alias("v")), k, normalise=model.normalise, exclusions=exclusions)
 
 
-def fused_run(queries: DataFrame, corpus: DataFrame, exclusions: DataFrame | None = None, k: int = KEPT, policy: str = "text", mode: str = "before") -> DataFrame:
+def fused_run(queries: DataFrame, corpus: DataFrame, exclusions: DataFrame | None = None, k: int = KEPT, policy: str | dict[str, str] = "text", mode: str = "before", blank: list[float] | None = None, normalise: bool = True) -> DataFrame:
     """Search of texts with images: queries (query_id, text_vec, image_vec), corpus (doc_id, pos, text_vec, image_vec);
-    either side's missing parts follow the policy; a corpus of images alone has no text_vec."""
-    fuse = lambda t, i: F.when(F.col(t).isNull(), vectors.as_double(F.col(i))).otherwise(vectors.fuse_missing(F.col(t), F.col(i), policy))
-    q = queries.select("query_id", fuse("text_vec", "image_vec").alias("q"))
-    v = corpus.select("doc_id", "pos", fuse("text_vec", "image_vec").alias("v"))
+    either side's missing parts follow its policy (of one name, or by `query` and `document`); blank: the vector of a
+    blank image, for that policy; a corpus of images alone has no text_vec."""
+    by_side = {"query": policy, "document": policy} if isinstance(policy, str) else {"query": "text", "document": "text"} | policy
+    white = F.lit([float(x) for x in blank]) if blank is not None else None
+
+    def fuse(side: str) -> Column:
+        fused = vectors.fuse_missing(F.col("text_vec"), F.col("image_vec"), by_side[side], white)
+        return F.when(F.col("text_vec").isNull(), vectors.as_double(F.col("image_vec"))).otherwise(fused)
+
+    q = queries.select("query_id", fuse("query").alias("q"))
+    v = corpus.select("doc_id", "pos", fuse("document").alias("v"))
     if mode == "before":
-        return dense(q, v, k, normalise=True, exclusions=exclusions)
-    run = dense(q, v, k, normalise=True).drop("rank")
+        return dense(q, v, k, normalise=normalise, exclusions=exclusions)
+    run = dense(q, v, k, normalise=normalise).drop("rank")
     return search(run, exclusions, mode, k)
 
 

@@ -90,21 +90,15 @@ def _bm25(s: SparkSession, d: str, k: int, **options) -> DataFrame:
 
 
 def _run(df: DataFrame) -> DataFrame:
-    """Ranks follow rounded scores, as sums in another order differ in their last bits."""
     return df.select("query_id", "doc_id", "score", "rank")
 
 
-def _bm25_rounded(s: SparkSession, d: str, k: int, **options) -> DataFrame:
-    scores = _bm25(s, d, 1 << 30, **options).drop("rank")
-    return search.top_k(_rounded(scores), k)
-
-
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return _run(_bm25_rounded(s, d, 10))
+    return _run(_bm25(s, d, 10, decimals=6))
 
 
 def bm25_binary_topk(s: SparkSession, d: str) -> DataFrame:
-    return _run(_bm25_rounded(s, d, 10, weighting="binary"))
+    return _run(_bm25(s, d, 10, weighting="binary", decimals=6))
 
 
 def _metric(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +143,7 @@ def summary_domains(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_metrics(s: SparkSession, d: str) -> DataFrame:
     """Text to text: BM25 of every item over all documents, judged by containment."""
-    run = _bm25_rounded(s, d, K)
+    run = _bm25(s, d, K, decimals=6)
     found = metrics.per_query(run, t.text_gold(s, d), (1, 10, 100))
     return found.select("query_id", *[F.round(F.col(f"`{m}@{k}`"), 6).alias(f"{m.lower()}{k}") for m in ("NDCG", "MAP", "Recall", "P") for k in (1, 10, 100)], F.round("MRR", 6).alias("mrr"))
 
@@ -159,8 +153,7 @@ def pair_metrics(s: SparkSession, d: str) -> DataFrame:
     docs = src.pair_expand(s, d)
     items = t.text_queries(s, d)
     corpus = docs.select("doc_id", F.xxhash64("doc_id").alias("pos"), "content")
-    scores = lexical.bm25(items, corpus, None, 1 << 30, weighting="binary").drop("rank")
-    run = search.top_k(_rounded(scores), K, tie=[F.desc("doc_id")])
+    run = lexical.bm25(items, corpus, None, K, weighting="binary", decimals=6, tie=[F.desc("doc_id")])
     judged = qrels.for_pairs(src._pair_gold(s, d), docs)
     found = metrics.per_query(run, judged, (1, 10))
     return found.select("query_id", *[F.round(F.col(f"`{m}@{k}`"), 6).alias(f"{m.lower()}{k}") for m in ("NDCG", "Recall") for k in (1, 10)], F.round("MRR", 6).alias("mrr"))

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.functions import images
 from rankspark.operators import encoders, experiments, lexical, metrics, pairs, profiles, qrels, search
 from rankspark.operators.cache import EmbeddingStore
 from rankspark.plans import evaluation
@@ -83,6 +84,8 @@ def domain_run(spark: SparkSession, settings: Settings, domain: str, encoder=Non
     encoder = encoder or encoders.registered(settings.model).encoder
     config = readers.read_model_config(settings.configs, settings.model)
     ready = lambda df, i, c, side, steps: df.select(F.col(i).alias("id"), profiles.prepare(F.coalesce(c, F.lit("")), steps, config[side], F.lit(domain)).alias("content"))
+    if profile.joint and not hasattr(encoder, "encode_joint"):
+        raise ValueError(f"{settings.model} takes texts with their images: its encoder needs encode_joint")
     asked = _encoded(settings, domain, ready(queries, "query_id", F.col("query"), "query", profile.query), encoder, "query").select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("text_vec"))
     if task != "text_image":
         texts = _encoded(settings, domain, ready(corpus, "doc_id", F.col("content"), "document", profile.document), encoder, "text")
@@ -93,9 +96,20 @@ def domain_run(spark: SparkSession, settings: Settings, domain: str, encoder=Non
         run = search.dense(asked.select("query_id", F.col("text_vec").alias("q")), docs.select("doc_id", "pos", F.col("text_vec").alias("v")), settings.k, normalise=profile.normalise, exclusions=excluded)
         return run, judged
     none = F.lit(None).cast("array<double>")
-    if settings.query_images:
-        shown = readers.read_images(spark, f"{settings.query_images}/{domain}", domain)
-        first = pairs.query_images(queries, shown).groupBy("query_id").agg(F.min_by("path", "pos").alias("path"))
+    shown = readers.read_images(spark, f"{settings.query_images}/{domain}", domain) if settings.query_images else None
+    first = pairs.query_images(queries, shown).groupBy("query_id").agg(F.min_by("path", "pos").alias("path")) if shown is not None else None
+    if profile.joint:
+        texts = ready(queries, "query_id", F.col("query"), "query", profile.query).withColumnRenamed("id", "query_id")
+        texts = texts.join(first.join(shown.select("path", "bytes"), "path").select("query_id", "bytes"), "query_id", "left") if shown is not None else texts.withColumn("bytes", F.lit(None).cast("binary"))
+        asked = _joint(texts, encoder)
+        if task in ("text_image", "text_pair"):
+            texts = ready(corpus, "doc_id", F.col("content"), "document", profile.document).withColumnRenamed("id", "doc_id") if task == "text_pair" else corpus.select("doc_id", "content")
+            both = corpus.select("doc_id", "pos", "image_path").join(texts, "doc_id").join(pictures.select(F.col("path").alias("image_path"), "bytes"), "image_path", "left")
+            docs = _joint(both, encoder)
+        else:
+            docs = docs.withColumn("image_vec", none)
+        return evaluation.fused_run(asked, docs, excluded, settings.k, "text", mode, normalise=profile.normalise), judged
+    if shown is not None:
         asked = asked.join(first.join(_image_vectors(shown, encoder), "path").select("query_id", "image_vec"), "query_id", "left")
     else:
         asked = asked.withColumn("image_vec", none)
@@ -103,8 +117,17 @@ def domain_run(spark: SparkSession, settings: Settings, domain: str, encoder=Non
         docs = docs.join(_image_vectors(pictures, encoder).withColumnRenamed("path", "image_path"), "image_path", "left")
     else:
         docs = docs.withColumn("image_vec", none)
-    policy = "zero" if "zero" in profile.missing_image.values() else "text"  # a blank image's vector is the encoder's affair
-    return evaluation.fused_run(asked, docs, excluded, settings.k, policy, mode), judged
+    policy = dict(profile.missing_image)
+    if task != "text_pair":
+        policy["document"] = "text"  # documents are texts alone, or images alone
+    blank = [float(x) for x in encoder.encode_image([images.blank_image()])[0]] if "blank" in policy.values() else None
+    return evaluation.fused_run(asked, docs, excluded, settings.k, policy, mode, blank, profile.normalise), judged
+
+
+def _joint(df: DataFrame, encoder) -> DataFrame:
+    """df, with vectors of its texts and images together in the place of a text's; images are part of them."""
+    found = encoders.encode_joint(df, encoder).drop("content", "bytes")
+    return found.withColumn("text_vec", F.col("embedding").cast("array<double>")).drop("embedding").withColumn("image_vec", F.lit(None).cast("array<double>"))
 
 
 def run(spark: SparkSession, settings: Settings, encoder=None) -> dict:

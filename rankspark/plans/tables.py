@@ -26,8 +26,25 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is relevant for an item whose text it contains."""
-    both = blocks_joined(text_queries(spark, sf_dir), text_corpus(spark, sf_dir))
-    return both.where(F.expr("contains(content, query)")).select("query_id", "doc_id").withColumn("rel", F.lit(1))
+    found = containing(text_queries(spark, sf_dir), text_corpus(spark, sf_dir).select("doc_id", "content"))
+    return found.withColumn("rel", F.lit(1))
+
+
+def containing(items: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
+    """(query_id, doc_id) of items (query_id, query) whose text a document (doc_id, content) contains.
+
+    What stands between blanks inside an item stands between blanks in a document that contains it. So documents are
+    looked up by an item's second to fifth word together, and only those are searched; items of fewer words meet all.
+    """
+    parts = F.split("query", " ")
+    long = items.where(F.size(parts) >= words + 2).select("query_id", "query", F.xxhash64(F.slice(parts, 2, words)).alias("h"))
+    ends = F.sequence(F.lit(1), F.greatest(F.size("p") - (words - 1), F.lit(1)))
+    runs = docs.select("doc_id", F.split("content", " ").alias("p")).where(F.size("p") >= words)
+    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(ends, lambda i: F.xxhash64(F.slice("p", i, words))))).alias("h"))
+    near = runs.join(long, "h").select("query_id", "query", "doc_id")
+    found = docs.join(near, "doc_id").where(F.expr("contains(content, query)")).select("query_id", "doc_id")
+    short = blocks_joined(items.where(F.size(parts) < words + 2), docs).where(F.expr("contains(content, query)"))
+    return found.unionByName(short.select("query_id", "doc_id"))
 
 
 def vector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,11 +59,12 @@ def image_paths(images: Column, plain: bool) -> Column:
 
 
 def read_images(spark: SparkSession, path: str, domain: str, decodable=None) -> DataFrame:
-    """(domain, path, bytes); of rows that repeat a path one stays. decodable: a Column function that tests the bytes;
+    """(domain, path, bytes); of rows that repeat a path the last one stays, in the order of the files. decodable: a Column function that tests the bytes;
     by default, the bytes must begin like an image file."""
     df = spark.read.schema(schemas.IMAGES).parquet(path).withColumn("domain", F.lit(domain))
     test = decodable or looks_like_image
-    last = df.where(test(F.col("bytes"))).groupBy("domain", "path").agg(F.max_by("bytes", F.length("bytes")).alias("bytes"))
+    placed = df.withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id())).where(test(F.col("bytes")))
+    last = placed.groupBy("domain", "path").agg(F.max_by("bytes", "_at").alias("bytes"))
     return last.select("domain", "path", "bytes")
 
 

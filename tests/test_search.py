@@ -115,3 +115,19 @@ def test_block_join_meets_every_pair_once(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 4)
     monkeypatch.setattr(search, "DOCUMENT_BLOCK", 10)
     assert search.blocks_joined(queries, corpus).distinct().count() == 225
+
+
+def test_documents_that_contain_an_item(spark):
+    """By an item's inner words, against a plain look at every pair."""
+    import random
+
+    from rankspark.plans.tables import containing
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("ab\n") for _ in range(rng.randint(0, 2)))
+    docs = [(str(i), " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(60)] + [("null", None)]
+    cut = lambda t: t[rng.randint(0, 3) : len(t) - rng.randint(0, 9)]
+    items = [(str(i), cut(rng.choice(docs[:60])[1])) for i in range(50)] + [("x", "a b"), ("y", "")]
+    got = containing(spark.createDataFrame(items, "query_id string, query string"), spark.createDataFrame(docs, "doc_id string, content string"))
+    rows = [tuple(r) for r in got.select("query_id", "doc_id").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(q, d) for q, t in items for d, c in docs if c is not None and t in c}
