@@ -29,6 +29,8 @@ LEAST, OVER = 75, 100
 DRAWS, POOL = 25, 40
 #: Members of a bucket that one task holds at a time.
 GROUP = 1024
+#: Ids (8 bytes each), or blocks of buckets, that are sent to every executor at most; more are joined by an exchange.
+FEW = 1_000_000
 LEAF, FANOUT = 8, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
@@ -281,7 +283,8 @@ def exact_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataF
                 blobs = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(blobs, pa.binary())], names=["id", "tokens"])
 
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    few = ids.count() <= FEW
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
     return base.mapInArrow(run, "id long, tokens binary")
 
 
@@ -349,7 +352,8 @@ def _meetings(members: DataFrame) -> DataFrame:
     ways = F.ceil(F.col("members") / GROUP)
     blocks = blocks.groupBy("token").agg(F.sum("components").alias("all"), F.collect_list(F.struct("owner", ways.alias("ways"))).alias("blocks"))
     blocks = materialize(blocks.where("all > 1").select("token", "blocks"), "blocks")
-    placed = members.join(blocks, "token")  # the one exchange of bitmaps; what follows is inside a row
+    few = (blocks.agg(F.sum(F.size("blocks"))).first()[0] or 0) <= FEW
+    placed = members.join(F.broadcast(blocks) if few else blocks, "token")  # one exchange of bitmaps at most; what follows is inside a row
     big = F.get(F.filter("blocks", lambda b: b["owner"] == F.col("component")), F.lit(0))["ways"]
     small = F.get(F.filter("blocks", lambda b: b["owner"].isNull()), F.lit(0))["ways"]
     placed = placed.withColumn("owner", F.when(big.isNotNull(), F.col("component"))).withColumn("ways", F.coalesce(big, small))
@@ -369,7 +373,8 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     require(docs, doc_id, text)
     sigs = materialize(signatures(docs, doc_id, text), "signatures")
     classes = materialize(sigs.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    reps = sigs.join(classes, (sigs["id"] == classes["rep"]) & (sigs["set_key"] == classes["set_key"])).select("id", "n", "tokens", "bits").dropDuplicates(["id"])
+    own = F.array_contains(F.array(sigs["set_key"]), classes["set_key"])  # no key of the join: rows stay dealt by id alone
+    reps = sigs.join(classes, (sigs["id"] == classes["rep"]) & own).select("id", "n", "tokens", "bits").dropDuplicates(["id"])
     reps = materialize(reps, "reps")
     buckets = _buckets(reps, reps.count())
     parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("size") / GROUP)))).cast("long")
@@ -377,7 +382,7 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     leaders = dealt.where("parts > 1 and id = leader").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     work = dealt.unionByName(leaders).select("token", "part", "id", "n", "bits")
     tested = materialize(work.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(_forest, "a long, b long").distinct(), "forest")
-    ids = tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct()
+    ids = materialize(tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = materialize(exact_sets(docs, ids, doc_id, text), "sets").dropDuplicates(["id"])
     edges = materialize(verified(tested, sets), "edges")
     found = materialize(components(edges), "components-1")
@@ -390,6 +395,7 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         final = found
     else:
         more = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct().join(sets.select("id"), "id", "left_anti")
+        more = materialize(more, "ids-2")
         all_sets = materialize(exact_sets(docs, more, doc_id, text), "sets-2").dropDuplicates(["id"]).unionByName(sets)
         final = materialize(components(edges.unionByName(verified(left, all_sets))), "components-2")
     rows = sigs.select("id", "n", "set_key").join(classes, "set_key", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
