@@ -74,6 +74,8 @@ def step(spark: SparkSession) -> Iterator[None]:
 
 #: Rows of an Arrow batch: with long texts, Spark's default of 10,000 is many tens of MB for each of a task's buffers.
 BATCH_ROWS = 2000
+#: Bytes at which an Arrow batch is closed, whatever its rows: texts may be long. A row beyond that is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def share_imports(spark: SparkSession) -> None:
@@ -85,13 +87,17 @@ def share_imports(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of rows of an Arrow batch, if it is higher than BATCH_ROWS, and let workers share what
-    they import."""
+    """Lower the session's limits of rows and bytes of an Arrow batch, if they are higher than BATCH_ROWS and
+    BATCH_BYTES, and let workers share what they import."""
     share_imports(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if size(spark.conf.get(key, "1g")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import materialize
+from rankspark.llm.common import materialize, tidy
 
 
 def local_forest(pairs) -> list[tuple[int, int]]:
@@ -54,7 +54,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     adaptive execution. Rounds grow with the logarithm of the longest path; each is written to the shared folder.
     """
     now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    now = materialize(now.mapInArrow(lambda it: _contract(it, "a", "b"), "a long, b long").distinct(), "edges")
+    now = materialize(now.mapInArrow(tidy("", lambda it: _contract(it, "a", "b")), "a long, b long").distinct(), "edges")
     last = None
     for _ in range(most_rounds):
         # large star: each neighbour that is larger than a node goes to the node's smallest neighbour

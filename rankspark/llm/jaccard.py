@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm import hashing
-from rankspark.llm.common import make_room, materialize, require
+from rankspark.llm.common import materialize, require, tidy
 from rankspark.llm.components import components
 
 WORDS = 5
@@ -80,7 +80,6 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, n, set_key, tokens, bits) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room(__name__)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -95,7 +94,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "set_key", "tokens", "bits"])
 
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return base.mapInArrow(run, "id long, n long, set_key binary, tokens array<long>, bits binary")
+    return base.mapInArrow(tidy(__name__, run), "id long, n long, set_key binary, tokens array<long>, bits binary")
 
 
 class SignatureTree:
@@ -223,7 +222,6 @@ def _pair_batch(pairs) -> pa.RecordBatch:
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket part's candidates a spanning forest of the likeliest pairs, by ids where they are equally likely,
     so that buckets choose the same pairs."""
-    make_room(__name__)
     out: set[tuple[int, int]] = set()
     for _, (ids, n, bits) in _groups(batches, ["token", "part"], ["id", "n", "bits"]):
         if len(ids) < 2:
@@ -255,7 +253,6 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every candidate pair of a bucket that lies between two components."""
-    make_room(__name__)
     out: set[tuple[int, int]] = set()
     for key, (ids, n, bits, component, mine) in _groups(batches, ["token", "i", "j"], ["id", "n", "bits", "component", "mine"]):
         who, comp, side = np.array(ids), np.array(component), np.array(mine)
@@ -276,7 +273,6 @@ def exact_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataF
     """(id, tokens) of some documents: their shingles' 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room(__name__)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -285,7 +281,7 @@ def exact_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataF
 
     few = ids.count() <= FEW
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return base.mapInArrow(run, "id long, tokens binary")
+    return base.mapInArrow(tidy(__name__, run), "id long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -304,7 +300,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield _pair_batch(out)
 
     right = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("sb")), "b")
-    return right.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a").mapInArrow(run, "a long, b long")
+    return right.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a").mapInArrow(tidy(__name__, run), "a long, b long")
 
 
 def _buckets(reps: DataFrame, total: int) -> DataFrame:
@@ -332,7 +328,7 @@ def _buckets(reps: DataFrame, total: int) -> DataFrame:
                     out.append(chosen if last.any() and k < DRAWS else chosen[:k])
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "tokens"])
 
-        chosen = ranked.mapInArrow(choose, "id long, n long, tokens array<long>")
+        chosen = ranked.mapInArrow(tidy(__name__, choose), "id long, n long, tokens array<long>")
     else:
         chosen = ranked.select("id", "n", F.slice("tokens", F.lit(1), F.col("draws").cast("int")).alias("tokens"))
     drawn = chosen.select("id", "n", F.explode("tokens").alias("token")).join(counts, "token")
@@ -381,7 +377,7 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     dealt = buckets.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), "parts"))
     leaders = dealt.where("parts > 1 and id = leader").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     work = dealt.unionByName(leaders).select("token", "part", "id", "n", "bits")
-    tested = materialize(work.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(_forest, "a long, b long").distinct(), "forest")
+    tested = materialize(work.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(tidy(__name__, _forest), "a long, b long").distinct(), "forest")
     ids = materialize(tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = materialize(exact_sets(docs, ids, doc_id, text), "sets").dropDuplicates(["id"])
     edges = materialize(verified(tested, sets), "edges")
@@ -389,7 +385,7 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # what the forests left apart: candidates between components, in buckets that hold more than one
     with_comp = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     with_comp = materialize(with_comp, "buckets-2")
-    left = _meetings(with_comp).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_between, "a long, b long").distinct()
+    left = _meetings(with_comp).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(tidy(__name__, _between), "a long, b long").distinct()
     left = materialize(left.join(tested, ["a", "b"], "left_anti"), "between")
     if left.isEmpty():
         final = found

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm import latin
-from rankspark.llm.common import make_room, materialize, per_worker, require, tidy, trim
+from rankspark.llm.common import materialize, per_worker, require, tidy, trim
 
 CAPACITY = 2048
 END = 0
@@ -381,7 +381,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 512) -
                 sequence, offset = where.of(length, rank)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(__name__, run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, lasting: bool = True) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm import hashing
-from rankspark.llm.common import free_name, make_room, materialize, require, with_fields
+from rankspark.llm.common import free_name, materialize, require, tidy, with_fields
 
 LENGTH = 400
 #: An anchor with more occurrences than this takes the second way.
@@ -241,7 +241,6 @@ def _spread(length: int, block: int, ways: int, across: bool):
                     yield _rows([(1, b, None, None, None, None, None, x[order[cuts[b] : cuts[b + 1]]].tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room(__name__)
         held: dict[tuple, list] = {}
         many: list[np.ndarray] = []
         raws: dict[int, bytes] = {}
@@ -309,7 +308,6 @@ def _settle(length: int, across: bool):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room(__name__)
         key, group, out = None, [], []
 
         def done() -> list[tuple]:
@@ -367,7 +365,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, block: int | None = None, man
     block = block or length * 2 // 5
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room(__name__)
         for b in batches:
             rids, found, weights = [], [], []
             for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist()):
@@ -379,14 +376,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, block: int | None = None, man
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, rids, weights)], names=["anchor", "rid", "w"])
 
-    seen = materialize(docs.mapInArrow(scan, "anchor long, rid long, w long"), "anchors")
+    seen = materialize(docs.mapInArrow(tidy(__name__, scan), "anchor long, rid long, w long"), "anchors")
     enough = F.col("least") != F.col("last") if across else F.col("n") > 1
     counts = seen.groupBy("anchor").agg(F.sum("w").alias("n"), F.min("rid").alias("least"), F.max("rid").alias("last")).where(enough).select("anchor", (F.col("n") > many).alias("many"))
     kept = seen.drop("w").join(counts, "anchor").groupBy("rid").agg(F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("many"))
     texts = materialize(docs.join(kept, "rid"), "repeat-texts")
     ways = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.mapInArrow(_spread(length, block, ways, across), _ROW)
-    settled = materialize(spread.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(_settle(length, across), _SPAN), "strings")
+    spread = texts.mapInArrow(tidy(__name__, _spread(length, block, ways, across)), _ROW)
+    settled = materialize(spread.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(tidy(__name__, _settle(length, across)), _SPAN), "strings")
     found, runs = settled.where("lrid is null").select("rid", "first", "n"), settled.where("lrid is not null")
     if not runs.isEmpty():
         found = found.unionByName(_compared(texts, runs, length, across))
@@ -458,7 +455,6 @@ def remove_repeats(
     left = {"bytes": bytes, "text": lambda x: x.decode("utf-8", "ignore"), "sha256": lambda x: hashlib.sha256(x).hexdigest()}[rest]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room(__name__)
         for batch in batches:
             out = []
             for t, strings in zip(batch.column(whole).to_pylist(), batch.column(found).to_pylist()):
@@ -477,7 +473,7 @@ def remove_repeats(
             through = [batch.column(x) for x in schema.names[:-3]]
             yield pa.RecordBatch.from_arrays([*through, *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=schema.names)
 
-    done = joined.mapInArrow(cut, schema)
+    done = joined.mapInArrow(tidy(__name__, cut), schema)
     values = {removed: a, spans: b, kept: c}
     return done.select(*[F.col(f"`{x}`") for x in df.columns if x in base.columns and x not in values], *[F.col(v).alias(k) for k, v in values.items()])
 
