@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rankspark.llm import langid, packing, sharding, toxicity
+from rankspark.llm import common, langid, packing, sharding, toxicity
 from rankspark.llm.queries import op5_sharding, op6_packing
 from tests.llm.test_jaccard import brute as plain_classes
 from tests.llm.test_suffix_dedup import brute
@@ -252,6 +252,17 @@ def pipeline_docs():
 DDL = "doc_id long, text string, lang string, source string, n_chars long, `_keep` string"
 
 
+def test_heaps_shrink_between_jobs_of_a_cluster(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: next(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    seen = [whole()]
+    for act in (lambda: common.shrink_heaps(spark), lambda: common.materialize(spark.range(3).toDF("x"), "three"), lambda: common.bound_batches(spark)):
+        monkeypatch.setattr(common, "on_cluster", lambda _: True)
+        act()
+        seen.append(whole())
+    assert [b - a >= 2 for a, b in zip(seen, seen[1:])] == [True] * 3  # the driver's call and an executor's task
+
+
 def test_stages(spark, tmp_path):
     rows, passage = pipeline_docs()
     docs = spark.createDataFrame(rows, DDL)
