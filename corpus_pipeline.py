@@ -17,7 +17,8 @@ from rankspark.llm import jaccard, langid, packing, suffix_dedup, toxicity
 from rankspark.llm.common import bound_batches, crc_bucket, free_name, materialize, remove, step
 
 #: A text whose words tell less than this for its language is rejected: it is junk, not a text in a learned language. In
-#: texts of fewer words than the second number, which two languages may share, that is no evidence, and they stay.
+#: texts of fewer words than the second number, which two languages may share, that is no evidence, and they stay if they
+#: have a letter of a learned script.
 LEAST_LANGUAGE = 0.1
 FEW_WORDS = 5
 TOXIC_FROM = 0.7
@@ -34,7 +35,7 @@ def _names(docs: DataFrame) -> list:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose words belong to no learned language, go. A null lang is filled in.
 
-    A short text stays, and a labelled document stays if the model has nothing on its language, or no evidence either way on its words (their
+    A short text in a script that was learned stays, and a labelled document stays if the model has nothing on its language, or no evidence either way on its words (their
     script wasn't learned). If there is no labelled row to learn from, only documents without a letter go.
     """
     bound_batches(spark)
@@ -43,7 +44,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, model, pred=pred, score=score, spans=None, lasting=False)
-    short = F.size(F.split(F.trim("text"), r"\s+")) < FEW_WORDS
+    short = (F.size(F.split(F.trim("text"), r"\s+")) < FEW_WORDS) & F.col("text").rlike(langid.letters_of(model))
     unread = (F.trim(F.col("lang")) != "") & ((F.col(score) == 0) | ~F.col("lang").isin(model.languages))
     kept = found.where((F.col(pred) != langid.UNKNOWN) & ((F.col(score) >= LEAST_LANGUAGE) | short | F.coalesce(unread, F.lit(False))))
     return kept.select([F.coalesce(F.col("lang"), F.col(pred)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])

@@ -258,6 +258,13 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int
     return fit([(r[0], r[1]) for r in rows.select(text, lang).collect()])
 
 
+def letters_of(model: Model) -> str:
+    """A regular expression (Java's) for one letter of a script that some language of the model was learned with."""
+    ends = [*(start for start, _ in SCRIPTS[1:]), 0x110000]
+    parts = "".join(f"\\x{{{a:x}}}-\\x{{{b - 1:x}}}" for (a, script), b in zip(SCRIPTS, ends) if script in model.scripts)
+    return rf"[\p{{L}}&&[{parts}]]" if parts else "(?!)"
+
+
 def quota(counts: list[int], most: int) -> int:
     """The largest number of rows that each language may give if all together give `most` at most; 1 at least."""
     left, most_of = most, sorted(counts)

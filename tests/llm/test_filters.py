@@ -107,6 +107,17 @@ def test_a_rare_language_is_learned(spark, tmp_path):
     assert held in stay and 4002 not in stay and stay >= {3000, 3001, 3002}
 
 
+def test_a_short_text_stays_if_its_script_was_learned(spark):
+    import corpus_pipeline
+
+    short = [(9000, "日本語", None), (9001, "日本語 日本", None), (9002, "EN\u00e9", None), (9003, "zqx", None), (9004, "привет", None), (9005, "日本語 ok", None), (9006, "12", None), (9007, None, None)]
+    docs = spark.createDataFrame([*((i, f"{EN} {i}", "en") for i in range(40)), *((i, f"{RU} {i}", "ru") for i in range(40, 80)), *short], "doc_id long, text string, lang string")
+    stay = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert stay == {*range(80), 9002, 9003, 9004, 9005}
+    none = langid.Model([], {}, np.zeros((1, 0)), {})
+    assert not re.search(langid.letters_of(none), "a")
+
+
 KNOWN = set(toxicity.Grammar().rates)
 GRAMMAR = toxicity.Grammar({"idiot": 1e-6, "scum": 1e-6, "clown$": 1e-5, "often": 1e-2}, -6.0, 4.0)
 
